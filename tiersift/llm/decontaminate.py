@@ -128,3 +128,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, min_it
     out = out.withColumn("n_hit", F.greatest("n_hit", F.lit(0).cast("long")))
     n_items = F.size("names").cast("long")
     return out.select("doc_id", "n_words", "n_hit", n_items.alias("n_items"), F.sha2(F.array_join("names", ","), 256).alias("items_sha256"), (n_items >= min_items).alias("contaminated"))
+
+
+def keep_clean(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, min_items: int = MIN_ITEMS, text_col: str = "text") -> DataFrame:
+    """The rows of docs that are not contaminated, with all their columns."""
+    packed = docs.select(F.struct(*docs.columns).alias("row"), F.col(text_col).alias("text"))
+    return contamination(packed, benchmark, n, min_items, id_col="row").where(~F.col("contaminated")).select("doc_id.*")

@@ -317,3 +317,9 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED * F.col("n_words"))
     inside = (F.col("log_ppl") >= F.coalesce("low", F.lit(0.0))) & (F.col("log_ppl") <= F.coalesce("high", F.lit(math.inf)))
     return joined.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & inside).alias("kept"), "lang", "log_ppl", "low", "high")
+
+
+def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """The rows of docs that quality() keeps, with all their columns."""
+    packed = docs.select(F.struct(*docs.columns).alias("row"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
+    return quality(packed, "row").where("kept").select("doc_id.*")

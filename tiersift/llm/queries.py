@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import simhash, token_bins, token_codec, token_counts
+from . import decontaminate, language, quality, simhash, token_bins, token_codec, token_counts, warc
 from .common import table
 
 VOCAB_SIZE, END_ID = 50_257, 2
@@ -31,13 +31,29 @@ def op2_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_codec.round_trip(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.captures(table(spark, sf_dir, "pages"))
+
+
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.languages(table(spark, sf_dir, "documents"))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(table(spark, sf_dir, "documents"))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_bins, op2_bpe_codec, op7_token_counts, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op1_token_bins, op2_bpe_codec, op3_warc, op4_decontaminate, op5_language, op7_token_counts, op8_quality, op10_simhash)}
 ORACLE_SQL: dict[str, str] = {}
