@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language, quality, simhash, token_bins, token_codec, token_counts, warc
+from . import decontaminate, dom, language, licences, quality, simhash, token_bins, token_codec, token_counts, warc
 from .common import table
 
 VOCAB_SIZE, END_ID = 50_257, 2
@@ -43,6 +43,10 @@ def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.languages(table(spark, sf_dir, "documents"))
 
 
+def op6_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(table(spark, sf_dir, "documents"))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
 
@@ -51,9 +55,13 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"))
 
 
+def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dom.main_texts(table(spark, sf_dir, "pages"))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_bins, op2_bpe_codec, op3_warc, op4_decontaminate, op5_language, op7_token_counts, op8_quality, op10_simhash)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_token_bins, op2_bpe_codec, op3_warc, op4_decontaminate, op5_language, op6_licences, op7_token_counts, op8_quality, op9_main_text, op10_simhash)}
+ORACLE_SQL = {"op6_licences": licences.oracle()}

@@ -42,7 +42,8 @@ PIECE = 1 << 15
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
-    words = _words((text or "").translate(_lower) if not (text or "").isascii() else text.lower())
+    text = text or ""
+    words = _words(text.lower() if text.isascii() else text.translate(_lower))
     if not words:
         return 0
     parts = [words[i:] for i in range(shingle)] if len(words) >= shingle else [[w] for w in words]
