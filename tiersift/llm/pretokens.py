@@ -68,3 +68,20 @@ class UnitCache(dict):
         if new:
             units = sorted(new)
             self.update(zip(units, self.encode(units)))
+
+    def find(self, texts_units: list[list[str]]) -> list[list]:
+        """What encode gives for each unit of each text; units not yet known are learned on the way."""
+        get = self.get
+        found = [list(map(get, units)) for units in texts_units]
+        missing = [(f, u) for f, u in zip(found, texts_units) if None in f]
+        new = list(dict.fromkeys(u for f, units in missing for u, x in zip(units, f) if x is None))
+        if new:
+            learned = dict(zip(new, self.encode(new)))
+            for f, units in missing:
+                for i in [i for i, x in enumerate(f) if x is None]:
+                    f[i] = learned[units[i]]
+            if len(self) + len(new) > self.limit:
+                self.clear()
+            if len(new) <= self.limit:
+                self.update(learned)
+        return found

@@ -21,6 +21,7 @@ other columns of the input are not read. A document of any length goes to one sh
 
 from __future__ import annotations
 
+import os
 import struct
 import uuid
 import zlib
@@ -41,6 +42,8 @@ HEAD = struct.Struct("<8sIIQQQ")
 BLOCK_IDS = 1 << 16
 #: A shard is closed when it has so many ids: bounds what a task holds.
 SHARD_IDS = 1 << 22
+#: Units that are encoded as one text.
+JOINED = 1000
 
 
 def width(vocab_size: int) -> int:
@@ -147,6 +150,8 @@ class Encoder:
     """The tokenizers library with each distinct word encoded once a worker; whole texts where words do not add up."""
 
     def __init__(self, path: str):
+        # the cluster's tasks fill the cores: threads of the library's own only get in each other's way
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         from .pretokens import UnitCache, byte_units
@@ -159,14 +164,39 @@ class Encoder:
         self.special = [t.content for t in self.model.get_added_tokens_decoder().values()]
         find = self.model.pre_tokenizer.pre_tokenize_str if self.plain else None
         self.units = lambda text: byte_units(text, lambda t: [t[a:b] for _, (a, b) in find(t)])
-        self.cache = UnitCache(lambda units: [np.array(e.ids, "<u4").tobytes() for e in self.model.encode_batch_fast(units, add_special_tokens=False)], 800_000)
+        self.cache = UnitCache(self._encode_units, 800_000)
+        vocab = self.model.get_vocab()
+        self.n_bytes = np.zeros(max(vocab.values(), default=0) + 1, np.int64)
+        for token, i in vocab.items():
+            self.n_bytes[i] = len(token)  # in a byte-level vocabulary each letter of a token is a byte
+
+    def _ids(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _encode_units(self, units: list[str]) -> list[bytes]:
+        """Each unit's ids as bytes. Units that start with a space and hold more than white space are encoded as
+        one text, JOINED at a time, since a pre-token starts at each of their spaces; ids are told apart by bytes."""
+        own = [u for u in units if not (u[0] == " " and not u.isspace())]
+        made = dict(zip(own, [np.array(ids, "<u4").tobytes() for ids in self._ids(own)]))
+        rest = [u for u in units if u not in made] if own else units
+        for at in range(0, len(rest), JOINED):
+            some = rest[at : at + JOINED]
+            ids = np.array(self._ids(["".join(some)])[0], "<u4")
+            stops = np.concatenate([[0], np.cumsum(self.n_bytes[ids])])
+            ends = np.concatenate([[0], np.cumsum([len(u.encode()) for u in some])])
+            cuts = np.searchsorted(stops, ends)
+            if np.array_equal(stops[np.minimum(cuts, len(ids))], ends):
+                data, cuts = ids.tobytes(), (4 * cuts).tolist()
+                made.update(zip(some, [data[i:j] for i, j in zip(cuts, cuts[1:])]))
+            else:
+                made.update(zip(some, [np.array(x, "<u4").tobytes() for x in self._ids(some)]))
+        return [made[u] for u in units]
 
     def encode(self, texts: list[str], end: bytes) -> list[np.ndarray]:
         whole = [not t or not self.plain or any(s in t for s in self.special) for t in texts]
         units = [[] if w else self.units(t) for t, w in zip(texts, whole)]
-        self.cache.learn(units)
-        get = self.cache.__getitem__
-        return [np.frombuffer((np.array(self.model.encode(t, add_special_tokens=False).ids, "<u4").tobytes() if w else b"".join(map(get, u))) + end, "<u4") for t, u, w in zip(texts, units, whole)]
+        found = self.cache.find(units)
+        return [np.frombuffer((np.array(self.model.encode(t, add_special_tokens=False).ids, "<u4").tobytes() if w else b"".join(f)) + end, "<u4") for t, f, w in zip(texts, found, whole)]
 
 
 _encoders: dict[str, Encoder] = {}
