@@ -23,7 +23,7 @@ an empty result; other columns of the input are not read.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -41,9 +41,13 @@ _lower = str.maketrans(UPPER, LOWER)
 PIECE = 1 << 15
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
+def words_of(text: str | None) -> list[str]:
     text = text or ""
-    words = _words(text.lower() if text.isascii() else text.translate(_lower))
+    return _words(text.lower() if text.isascii() else text.translate(_lower))
+
+
+def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
+    words = words_of(text)
     if not words:
         return 0
     parts = [words[i:] for i in range(shingle)] if len(words) >= shingle else [[w] for w in words]
@@ -131,6 +135,18 @@ def keys(fp: Column) -> Column:
     return F.array(*made)
 
 
+def in_blocks(sized: DataFrame, size: str, block: int, others: list[str] = []) -> DataFrame:
+    """(key, fp, others, own, x, y): rows of a key, with their number in size, dealt to the pairs (x, y) of its blocks."""
+    blocks = F.ceil(F.col(size) / block).cast("int")
+    own = F.pmod(F.xxhash64("fp"), blocks).cast("int")
+    # a row goes to every pair of blocks that its own is in; one block, the usual case, is the pair (0, 0)
+    return (
+        sized.withColumns({"own": own, "blocks": blocks})
+        .select("key", "fp", *others, "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("with"))
+        .select("key", "fp", *others, "own", F.least("own", "with").alias("x"), F.greatest("own", "with").alias("y"))
+    )
+
+
 def links(distinct: DataFrame, distance: int = DISTANCE, block: int = BLOCK, n_pivots: int = PIVOTS) -> DataFrame:
     """(a, b) of fp: links that span every component of the fingerprints in distinct (fp), in either order."""
     if distance > 3:
@@ -138,14 +154,7 @@ def links(distinct: DataFrame, distance: int = DISTANCE, block: int = BLOCK, n_p
     rows = cut(distinct.select("fp", F.explode(keys(F.col("fp"))).alias("key")), "simhash-keys")
     counts = cut(rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "simhash-buckets")
     sized = join_counted(rows, counts.withColumn("size", F.col("n")), "key", rows.count(), "inner")
-    blocks = F.ceil(F.col("size") / block).cast("int")
-    own = F.pmod(F.xxhash64("fp"), blocks).cast("int")
-    # a row goes to every pair of blocks that its own is in; one block, the usual case, is the pair (0, 0)
-    placed = (
-        sized.withColumns({"own": own, "blocks": blocks})
-        .select("key", "fp", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("with"))
-        .select("key", "fp", "own", F.least("own", "with").alias("x"), F.greatest("own", "with").alias("y"))
-    )
+    placed = in_blocks(sized, "size", block)
     fixed = pivots(n_pivots)
 
     def compare(group: pd.DataFrame) -> pd.DataFrame:
@@ -191,8 +200,18 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fingerprint, component_id, root) for every row of docs; root is the component's least fp."""
     rows = cut(fingerprints(docs, shingle, id_col, text_col), "simhash-rows")
-    classes = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "simhash-classes")
-    found = components(links(classes, distance))
+    classes = cut(classes_of(rows), "simhash-classes")
+    return joined_components(rows, links(classes, distance), classes)
+
+
+def classes_of(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"))
+
+
+def joined_components(rows: DataFrame, edges: DataFrame, classes: DataFrame | None = None) -> DataFrame:
+    """(doc_id, fingerprint, component_id, root) for every row of rows (doc_id, fp), by links (a, b) of fp."""
+    classes = classes or cut(classes_of(rows), "simhash-classes")
+    found = components(edges)
     joined = classes.join(found, classes.fp == found.node, "left").select("fp", "n", "least", F.coalesce("root", "fp").alias("root"))
     joined = cut(joined, "simhash-roots")
     # only classes with links need their root's least document; there is one row a class, never one a copy
@@ -203,9 +222,12 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, distance: int = DIS
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "root")
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs without all but one of each component: that with the least id stays, of equal ids one."""
-    found = cut(near_duplicates(docs, id_col=id_col, text_col=text_col), "simhash-found")
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", find: Callable = near_duplicates, mark: Callable = fingerprint) -> DataFrame:
+    """The rows of docs without all but one of each component: that with the least id stays, of equal ids one.
+
+    find gives the components, as near_duplicates does, and mark a text's fingerprint in them.
+    """
+    found = cut(find(docs, id_col=id_col, text_col=text_col), "simhash-found")
     repeats = cut(found.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "simhash-repeats")
     first = found.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     stay = first.select("doc_id").distinct()
@@ -220,7 +242,7 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fp = np.array([fingerprint(t) for t in b.column(at[1]).to_pylist()], np.uint64).view(np.int64)
+            fp = np.array([mark(t) for t in b.column(at[1]).to_pylist()], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(fp, pa.int64())], [*columns, "fp"])
 
     kinds = ", ".join(f"{c} {f.dataType.simpleString()}" for c, f in zip(columns, schema))
