@@ -8,7 +8,8 @@ searches through an index of the keys' first bits.
 
 Bands: the documents of a language give the median and the median absolute deviation of their log perplexity
 a byte (from exact counts in steps of STEP); documents beyond ``upper`` deviations above or ``lower`` below are
-rejected. ``floor`` is the least width of a band, so that a uniform language rejects nothing near its median.
+rejected. A language whose deviation is at most a step, as of few or equal texts, has none to measure by: there the
+band is ``floor`` wide. Bands are wider below because copies of a text score low, by what the model saw of them.
 
 Defined results: null text has no words and fails the base rules; a null language is a language of its own;
 text without bytes has log perplexity 0 and stands in no band's counts; repeated rows count as often as they
@@ -34,8 +35,8 @@ from .common import cut, limit_batches, map_rows, shared_dir
 from .joins import join_counted
 
 ORDER, STEP = 5, 0.001
-#: Bands in deviations above and below a language's median log perplexity, and their least width.
-UPPER_DEVIATIONS, LOWER_DEVIATIONS, FLOOR = 8.0, 8.0, 0.35
+#: Bands in deviations above and below a language's median log perplexity, and their width where there is no deviation.
+UPPER_DEVIATIONS, LOWER_DEVIATIONS, FLOOR = 5.0, 11.0, 0.35
 MIN_WORDS, MAX_REPEATED = 50, 50
 #: Distinct n-grams that a task holds before it hands them on; entries of a shard.
 HELD, SHARD = 1 << 21, 1 << 22
@@ -298,13 +299,13 @@ def bands(scored: DataFrame, upper: float = UPPER_DEVIATIONS, lower: float = LOW
     middle = median(rows, "step", "mid")
     away = rows.join(middle, "name").withColumn("away", F.abs(F.col("step") - F.col("mid")))
     spread = median(away, "away", "mad")
-    width = 1.4826 * F.col("mad") * STEP
+    width, none = 1.4826 * F.col("mad") * STEP, F.col("mad") <= 1
     got = hist.groupBy("name").agg(F.sum("k").alias("n")).join(middle, "name", "left").join(spread, "name", "left")
     return got.select(
         "name",
         "n",
-        (F.col("mid") * STEP - F.greatest(lower * width, F.lit(floor))).alias("low"),
-        (F.col("mid") * STEP + F.greatest(upper * width, F.lit(floor))).alias("high"),
+        (F.col("mid") * STEP - F.when(none, F.lit(floor)).otherwise(lower * width)).alias("low"),
+        (F.col("mid") * STEP + F.when(none, F.lit(floor)).otherwise(upper * width)).alias("high"),
     )
 
 
