@@ -38,11 +38,16 @@ SENTENCES = {
     "apache-2-comply": ["you may not use this file except in compliance with the license"],
     "gpl-2-notice": ["this work is licensed under the gnu general public license version 2", "licensed under the gnu general public license version 2"],
     "gpl-3-notice": ["this work is licensed under the gnu general public license version 3", "licensed under the gnu general public license version 3"],
+    # the notices have a semicolon or colon after "free software", and version 2's another before "either"
+    "gpl-program": ["this program is free software"],
+    "gpl-terms": ["you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation"],
+    "gpl-2-later": ["either version 2 of the license or at your option any later version"],
+    "gpl-3-later": ["either version 3 of the license or at your option any later version"],
     "gpl-2-terms": [
-        "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version"
+        "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version"
     ],
     "gpl-3-terms": [
-        "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version"
+        "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version"
     ],
     "bsd-grant": ["redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"],
     "bsd-source": ["redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer"],
@@ -71,8 +76,10 @@ RULES = [
     ("Apache-2.0", ["apache-2-notice"]),
     ("GPL-2.0", ["gpl-2-notice"]),
     ("GPL-3.0", ["gpl-3-notice"]),
-    ("GPL-2.0-or-later", ["gpl-2-terms"]),
-    ("GPL-3.0-or-later", ["gpl-3-terms"]),
+    ("GPL-2.0-or-later", ["gpl-program", "gpl-terms", "gpl-2-later"]),
+    ("GPL-2.0-or-later", ["gpl-program", "gpl-2-terms"]),
+    ("GPL-3.0-or-later", ["gpl-program", "gpl-terms", "gpl-3-later"]),
+    ("GPL-3.0-or-later", ["gpl-program", "gpl-3-terms"]),
     ("CC-BY-3.0", ["cc-by-3-notice"]),
     ("CC-BY-4.0", ["cc-by-4-notice"]),
     ("CC-BY-SA-3.0", ["cc-by-sa-3-notice"]),
