@@ -15,3 +15,27 @@ def test_gpl_notices(spark):
     texts = ["Copyright 2020 Foo.\n" + GPL.format(*x) for x in ((";", ";", 2), (":", ",", 3), (";", ",", 2), (";", ";", 3))]
     got = licences.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")).collect()
     assert [r.licences for r in sorted(got)] == ["GPL-2.0-or-later", "GPL-3.0-or-later"] * 2
+
+
+def test_wrapped_grants_after_copyright_lines(spark):
+    mit = """Copyright (c) 2020 Foo
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+"""
+    isc = """Copyright (c) 2020, Foo
+
+Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+"""
+    texts = [mit, "MIT License\n \n" + mit, isc, isc.replace("\n", "\r\n")]
+    got = licences.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")).collect()
+    assert [r.licences for r in sorted(got)] == ["MIT", "MIT", "ISC", "ISC"]

@@ -1,7 +1,7 @@
 """Licence scans by sentence-rule recognition. DataFrame functions only.
 
 A text is cut into sentences, twice: with every line break as an end, for licence lines that stand alone, and
-with line breaks as spaces, for sentences that wrap. Normalised sentences are looked up in a table of known
+with single line breaks as spaces, for sentences that wrap; a blank line ends a sentence. Normalised sentences are looked up in a table of known
 licence sentences; the sequence of their identifiers, in order and without the unknown sentences between them,
 is matched against ordered rules. A rule that matches takes its identifiers out of the sequence, so that the
 rules after it (shorter licences that share sentences) don't see them.
@@ -21,6 +21,7 @@ from .common import lower_ascii
 
 SPACE = r"[\x20\x09-\x0D]+"
 ENDS = rf"[.!?;:]+{SPACE}"
+BLANK = r"\n[\x20\x09\x0D]*\n"
 #: Known licence sentences, lower case, with single spaces for all but letters and digits.
 SENTENCES = {
     "mit-notice": ["released under the mit license", "licensed under the mit license", "mit license", "the mit license"],
@@ -93,7 +94,7 @@ KNOWN = {s: name for name, sentences in SENTENCES.items() for s in sentences}
 def identifiers(text: Column, wrapped: bool) -> Column:
     """The identifiers of a text's known sentences, in order."""
     known = F.create_map(*[F.lit(x) for pair in KNOWN.items() for x in pair])
-    cut = F.split(lower_ascii(text), ENDS if wrapped else rf"{ENDS}|\n")
+    cut = F.split(lower_ascii(text), rf"{ENDS}|{BLANK}" if wrapped else rf"{ENDS}|\n")
     named = F.transform(cut, lambda s: known[F.btrim(F.regexp_replace(s, "[^a-z0-9]+", " "))])
     return F.filter(named, lambda x: x.isNotNull())
 
