@@ -91,7 +91,7 @@ def context_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def section_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    title = F.left(F.coalesce("text", F.lit("")), F.lit(60))
+    title = F.coalesce("text", F.lit(""))
     return table(spark, sf_dir, "documents").select("doc_id", normal_title(title).alias("title"), is_noise(title).alias("noise"), is_method(title).alias("method"))
 
 
