@@ -30,8 +30,10 @@ from .common import limit_batches
 
 #: Elements by their role in HTML.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-RAW = set("script style noscript template iframe textarea title svg math canvas object select option button".split())
-INLINE = set("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
+RAW = set("script style textarea title".split())
+#: Elements whose text is not the page's, passed over if they are closed; left open, they are nodes like any other.
+ASIDE = set("noscript template iframe svg select option button".split())
+INLINE = set("a math mi mn mo mrow ms mtext abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 CLOSES_P = set("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}}
@@ -66,6 +68,19 @@ def hints_of(attributes: str) -> tuple[bool, ...]:
     return tuple(not words.isdisjoint(HINTS[k]) for k in ("boiler", "comments", "content"))
 
 
+def end_of(tag: str, page: str, at: int) -> int | None:
+    """Where an element whose start tag ends at ``at`` ends; None if it is left open. An option's end tag may be left out."""
+    if tag == "option":
+        found = re.compile(r"</option\b[^>]*>|(?=<option\b|</?optgroup\b|</?select\b|</?datalist\b)", re.I).search(page, at)
+        return found.end() if found else None
+    depth = 1
+    for m in re.compile(rf"<(/?){tag}\b[^>]*>", re.I).finditer(page, at):
+        depth += -1 if m[1] else not m[0].endswith("/>")
+        if not depth:
+            return m.end()
+    return None
+
+
 def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
     """(nodes, parents first; blocks (node, text) in page order)."""
     nodes = [Node("body", None, (False,) * 3, 0)]
@@ -135,6 +150,9 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
             if not attributes.endswith("/"):
                 end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
                 at = end.end() if end else n
+        elif tag in ASIDE and (attributes.endswith("/") or (end := end_of(tag, page, at)) is not None):
+            if not attributes.endswith("/"):
+                at = end
         elif in_head and tag not in ("meta", "link", "base"):
             in_head = False
             at = m.start()
