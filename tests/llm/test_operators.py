@@ -9,7 +9,7 @@ from collections import Counter
 import pytest
 from xxhash import xxh64_intdigest
 
-from tiersift.llm import decontaminate, dom, language, licences, quality, simhash, token_bins, token_codec, token_counts, warc
+from tiersift.llm import decontaminate, dom, hash_arrays, language, licences, quality, simhash, token_bins, token_codec, token_counts, warc
 from tiersift.llm.queries import vocabulary
 
 TEXTS = [
@@ -187,7 +187,7 @@ def test_quality(spark):
 
 def test_quality_model_is_a_distribution(spark):
     docs = spark.createDataFrame([(0, "abracadabra abra cad"), (0, "banana")], "l long, text string")
-    model = quality.Model(quality.shards_of(quality.train(docs)))
+    model = quality.Model(hash_arrays.shards_of(quality.train(docs)))
     import numpy as np
 
     for context in (b"abra", b"zzzz", b"\0\0\0\0", b"anan"):

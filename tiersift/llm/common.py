@@ -1,8 +1,4 @@
-"""What the operators share: the cluster's shared folder, cut lineage, batch limits and joins that survive hot keys.
-
-Row keys. Several operators must name a row although ids may repeat or be null. ``with_key`` makes the
-string ``<id>:<xxhash64 of text>``; rows that repeat both are interchangeable and get equal results.
-"""
+"""What the operators share: the cluster's shared folder, cut lineage and batch limits."""
 
 from __future__ import annotations
 
@@ -21,23 +17,43 @@ from pyspark.sql import functions as F
 #: A-Z and their lower case, for translate(); other letters stay as they are.
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-#: A key with more than one row in HOT_PART of a table is hot; there are fewer than HOT_PART such keys.
-HOT_PART = 1000
-
 
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new folder's path below spark.checkpoint.dir, which all executors and the driver can reach."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not root:  # a local session, as in tests: the driver and the executors are one process
-        root = "file:///tmp/tiersift-shared"
+    if not root:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = "file:///tmp/tiersift-shared"  # the driver and the executors are one process
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def _at(spark: SparkSession, path: str):
+    found = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), found
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
-    """df, written to the shared folder and read again: later stages and lost executors don't recompute it."""
-    path = shared_dir(df.sparkSession, name)
+    """df, written to the shared folder and read again: later stages and lost executors don't recompute it.
+
+    The folder goes when the driver ends, or before by discard().
+    """
+    spark = df.sparkSession
+    path = shared_dir(spark, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    store, at = _at(spark, path)
+    store.deleteOnExit(at)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._cut_folder = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes the folders of tables made by cut() that nothing reads any more."""
+    for df in tables:
+        store, at = _at(df.sparkSession, df._cut_folder)
+        store.delete(at, True)
 
 
 _shipped: set[str] = set()
@@ -58,22 +74,11 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(spark.sparkContext.applicationId)
 
 
-def limit_batches(spark: SparkSession, rows: int = 1000, size: str = "16m") -> None:
-    """Bounds the Arrow batches that Python workers get, by rows and by bytes."""
+def limit_batches(spark: SparkSession) -> None:
+    """Bounds the Arrow batches that Python workers get, by rows and by bytes: the same bounds for all operators."""
     ship(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
-
-
-def with_key(df: DataFrame, id_col: str, text_col: str, key: str = "row_key") -> DataFrame:
-    """(key, id, text): null ids and null texts get keys of their own."""
-    text = F.col(text_col)
-    name = F.concat(
-        F.coalesce(F.col(id_col).cast("string"), F.lit("null")),
-        F.lit(":"),
-        F.when(text.isNull(), F.lit("null")).otherwise(F.hex(F.xxhash64(text))),
-    )
-    return df.select(name.alias(key), F.col(id_col).alias("doc_id"), text.alias("text"))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
 
 
 def broadcast_if_small(df: DataFrame, rows: int, limit: int) -> DataFrame:
@@ -81,20 +86,6 @@ def broadcast_if_small(df: DataFrame, rows: int, limit: int) -> DataFrame:
     return F.broadcast(df) if rows <= limit else df
 
 
-def join_counted(left: DataFrame, right: DataFrame, key: str, n_left: int, how: str = "left") -> DataFrame:
-    """left join right on key, where right has one row a key and column n, that key's rows in left.
-
-    Hot keys, fewer than HOT_PART by their definition, are broadcast, so their rows are not shuffled;
-    of the others none has more than n_left / HOT_PART rows. right should be a written table.
-    """
-    bar = n_left / HOT_PART
-    hot, cold = right.where(F.col("n") > bar).drop("n"), right.where(F.col("n") <= bar).drop("n")
-    marks = hot.select(F.col(key), F.lit(True).alias("_hot"))
-    marked = left.join(F.broadcast(marks), key, "left")
-    rest = marked.where(F.col("_hot").isNull()).drop("_hot")
-    return left.join(F.broadcast(hot), key, "inner").unionByName(rest.join(cold, key, how), allowMissingColumns=True)
-
-
 def map_rows(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
     limit_batches(df.sparkSession)
     return df.mapInArrow(function, schema)

@@ -390,7 +390,7 @@ def trained() -> Extractor:
 
 def main_texts(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(page_id, url, text, n_chars) for every row."""
-    limit_batches(pages.sparkSession, rows=500)
+    limit_batches(pages.sparkSession)
     shared = pages.sparkSession.sparkContext.broadcast(trained())  # a few hundred weights
     kinds = [pages.schema[c].dataType.simpleString() for c in (id_col, url_col)]
 

@@ -32,7 +32,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .common import LOWER, UPPER, cut, join_counted, map_rows
+from .common import LOWER, UPPER, cut, discard, map_rows
+from .joins import join_counted
 
 SHINGLE, SEED, DISTANCE, PIVOTS, BLOCK = 3, 42, 3, 24, 4096
 _words = re.compile(r"[^\x20\x09-\x0D]+").findall

@@ -256,7 +256,7 @@ def write(docs: DataFrame, path: str, vocab_size: int, end_id: int, folder: str
 
 def read(manifest: DataFrame, with_ids: bool = True) -> DataFrame:
     """Every document of a manifest's shards: (doc_id, start, n_tokens, ids_crc32) and ids array<int> unless told not to."""
-    limit_batches(manifest.sparkSession, rows=16)
+    limit_batches(manifest.sparkSession)
     names = ["doc_id", "start", "n_tokens", "ids_crc32", *["ids"] * with_ids]
     kinds = [pa.int64()] * 4 + [pa.list_(pa.int32())] * with_ids
 

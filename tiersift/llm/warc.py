@@ -121,7 +121,7 @@ def row(path: str, headers: dict[str, str], block: bytes, with_payload: bool) ->
 def write(pages: DataFrame, min_bytes: int = 0, folder: str | None = None, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """Writes a capture per row; returns the manifest (path, captures)."""
     spark = pages.sparkSession
-    limit_batches(spark, rows=500)
+    limit_batches(spark)
     folder = folder or shared_dir(spark, "warc")
     html = F.coalesce(F.col(html_col), F.lit(""))
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), html.alias("html"))
@@ -158,7 +158,7 @@ def write(pages: DataFrame, min_bytes: int = 0, folder: str | None = None, id_co
 
 def read(paths: DataFrame, with_payload: bool = False) -> DataFrame:
     """One row a record of the files in paths (path): the schema RECORD, and payload binary if asked for."""
-    limit_batches(paths.sparkSession, rows=16)
+    limit_batches(paths.sparkSession)
     kinds = [pa.string()] * 6 + [pa.int64(), pa.string(), pa.map_(pa.string(), pa.string())] + [pa.binary()] * with_payload
     names = ["path", "record_id", "type", "concurrent_to", "target", "refers_to", "payload_bytes", "payload_digest", "fields"] + ["payload"] * with_payload
 
