@@ -136,12 +136,60 @@ def test_decontamination(spark):
     assert kept.columns == docs.columns and kept.count() == sum(n for k, n in want.items() if not k[-1])
 
 
+def brute_near(docs, items, counts):
+    """Items whose two rarest different terms stand at most 8 words apart."""
+    cut = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", t or "")
+    for d, t in docs:
+        w, near = [x.lower() for x in cut(t)], set()
+        for name, text in items:
+            best = sorted({x.lower() for x in cut(text)}, key=lambda x: (counts[x], x))[:2]
+            if len(best) == 2:
+                a, b = ([i for i, x in enumerate(w) if x == y] for y in best)
+                if any(abs(i - j) <= 8 for i in a for j in b):
+                    near.add(name)
+        yield d, len(near)
+
+
 def test_proximity(spark):
     docs = spark.createDataFrame([(1, "a b c a d"), (2, "d a")], "row_key long, text string")
-    terms = spark.createDataFrame([("a",), ("d",)], "term string")
+    terms = spark.createDataFrame([("a", ""), ("d", "")], "term string, with string")
     pairs = spark.createDataFrame([(7, "a", "d")], "query int, term string, other string")
-    near = decontaminate.proximity(decontaminate.positional_index(docs, terms, 2), pairs, 1)
-    assert by_row(near, "row_key", "pos", "other_pos") == Counter({(1, 3, 4): 1, (2, 1, 0): 1})
+    near = decontaminate.proximity(decontaminate.positional_index(docs, terms), pairs, 1)
+    assert by_row(near, "row_key", "pos", "other_pos") == Counter({(1, 4, 3): 1, (2, 1, 0): 1})
+
+
+@pytest.mark.parametrize("bound", [decontaminate.BROADCAST_ROWS, -1])
+def test_decontamination_of_random_texts(spark, monkeypatch, bound):
+    import random
+
+    monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", bound)
+    if bound < 0:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    rng = random.Random(8)
+    vocab = ["the", "of", "a"] * 6 + [f"w{i}" for i in range(40)]
+    items = [(i, " ".join(rng.choice(vocab) for _ in range(rng.choice([1, 2, 3, 4, 5, 7, 8, 9, 12, 15, 16, 30])))) for i in range(40)]
+    texts = [None, "the " * 300]
+    for _ in range(60):
+        t = [rng.choice(vocab) for _ in range(rng.randint(0, 60))]
+        for _ in range(rng.randint(0, 3)):
+            w = rng.choice(items)[1].split()
+            a = rng.randrange(len(w))
+            at = rng.randint(0, len(t))
+            t[at:at] = w[a : a + rng.randint(1, 14)]
+        texts.append(", ".join(t).title() if rng.random() < 0.3 else " ".join(t))
+    docs = documents(spark, texts)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", (t or "").lower())
+    near = dict(brute_near(rows, items, Counter(w for _, t in rows for w in words(t))))
+    want = Counter((*x, near[x[0]]) for x in brute_contamination(rows, [(str(i), t) for i, t in items]))
+    columns = ("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "n_near")
+    try:
+        assert by_row(decontaminate.contamination(docs, bench), *columns) == want
+        clean = Counter(k[0] for k in want.elements() if not k[5])
+        assert by_row(decontaminate.keep_clean(docs, bench), "doc_id") == Counter({(k,): v for k, v in clean.items()})
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
 def test_language(spark):

@@ -81,11 +81,6 @@ def limit_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
 
 
-def broadcast_if_small(df: DataFrame, rows: int, limit: int) -> DataFrame:
-    """Hints a broadcast for a side whose counted rows are within limit; beyond it Spark shuffles."""
-    return F.broadcast(df) if rows <= limit else df
-
-
 def map_rows(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
     limit_batches(df.sparkSession)
     return df.mapInArrow(function, schema)

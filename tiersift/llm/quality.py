@@ -111,7 +111,7 @@ def pieces(text: bytes, order: int) -> Iterator[np.ndarray]:
 
 def added(found: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
     """Keys, ascending and distinct, with their counts added up."""
-    k, n = (np.concatenate(x) for x in zip(*found))
+    k, n = (np.concatenate(x) for x in zip(*found, strict=True))
     order = np.argsort(k, kind="stable")
     k, n = k[order], n[order]
     first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])) if len(k) else np.empty(0, np.int64)

@@ -3,14 +3,16 @@
 Fingerprints: 64 bits from XXH64 (seed 42) of the 3-word shingles. Distinct fingerprints that differ in at most
 ``distance`` bits are linked; documents of linked fingerprints form components.
 
-Pairs are found without comparing all. With ``distance`` 3, two linked fingerprints agree in one of four
-16-bit segments, and in one of four 12-bit parts of the rest: sixteen tables of 28-bit keys hold every linked
-pair in at least one bucket. In a bucket the pivot distance table works: each fingerprint's Hamming distances to
-PIVOTS fixed reference fingerprints. Distances of linked fingerprints to any pivot differ by at most
-``distance`` (triangle inequality), so pairs whose largest coordinate difference is beyond it are discarded
-and only survivors are verified by their own bits. A bucket beyond BLOCK fingerprints is cut into blocks,
-each pair of blocks a task of its own, so no bucket is collected whole and none is capped; a task gives back a
-spanning forest of what it links, not all pairs.
+The pivot distance table is made once and stored: of each distinct fingerprint, its Hamming distances to PIVOTS fixed
+reference fingerprints. Distances of linked fingerprints to any pivot differ by at most ``distance`` (triangle
+inequality), so pairs whose largest coordinate difference is beyond it are discarded, and only survivors are
+verified by their own bits. The distances of random fingerprints lie so close together that one pivot lets about half
+of all pairs pass, so pivots alone would compare each with a share of all; the pairs that the table judges come from
+segments: with ``distance`` 3, two linked fingerprints agree in one of four 16-bit segments and in one of four 12-bit
+parts of the rest, so sixteen tables of 28-bit keys hold every linked pair in at least one bucket. In a bucket the
+rows are in the order of the first pivot's distances, and each meets only those within ``distance`` of its own. A
+bucket beyond BLOCK fingerprints is cut into blocks, each pair of blocks a group of its own, so no bucket is collected
+whole and none is capped; a group gives back a spanning forest of what it links, not all pairs.
 
 Components come from alternating large-star and small-star steps over tables in the shared folder.
 
@@ -38,6 +40,8 @@ from .joins import join_counted
 SHINGLE, SEED, DISTANCE, PIVOTS, BLOCK = 3, 42, 3, 24, 4096
 _words = re.compile(r"[^\x20\x09-\x0D]+").findall
 _lower = str.maketrans(UPPER, LOWER)
+#: Keys of 8 bytes up to which a table of them goes to every task.
+BROADCAST_KEYS = 4_000_000
 #: Shingles whose bits are counted at a time.
 PIECE = 1 << 15
 
@@ -77,14 +81,19 @@ def pivots(n: int = PIVOTS) -> np.ndarray:
     return np.array([xxh64_intdigest(f"pivot {i}", SEED) for i in range(n)], np.uint64)
 
 
-def linked_pairs(fps: np.ndarray, other: np.ndarray | None, distance: int, reference: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index pairs of linked fingerprints within fps, or between fps and other, some rows of fps at a time."""
-    table = lambda x: np.bitwise_count(x[:, None] ^ reference[None, :]).astype(np.int8)
+def pivot_table(distinct: DataFrame, n: int = PIVOTS) -> DataFrame:
+    """(fp, table): a byte for the Hamming distance of each fingerprint to each pivot; written."""
+    signed = pivots(n).view(np.int64).tolist()
+    each = [F.substring(F.hex(F.bit_count(F.col("fp").bitwiseXOR(F.lit(p))).cast("long") + 256), -2, 2) for p in signed]
+    return cut(distinct.select("fp", F.unhex(F.concat(*each)).alias("table")), "simhash-pivots")
+
+
+def linked_pairs(fps: np.ndarray, table: np.ndarray, other: np.ndarray | None, other_table: np.ndarray | None, distance: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs of linked fingerprints within fps, or between fps and other, some rows of fps at a time. Tables: as of pivot_table()."""
     same = other is None
-    other = fps if same else other
-    order = np.argsort(table(other)[:, 0], kind="stable")
-    right, right_table = other[order], table(other)[order]
-    left_table = table(fps)
+    other, other_table = (fps, table) if same else (other, other_table)
+    left_table, order = table.astype(np.int8), np.argsort(other_table[:, 0], kind="stable")
+    right, right_table = other[order], other_table[order].astype(np.int8)
     low = np.searchsorted(right_table[:, 0], left_table[:, 0] - distance, "left")
     high = np.searchsorted(right_table[:, 0], left_table[:, 0] + distance, "right")
     for at in range(0, len(fps), 256):
@@ -92,7 +101,7 @@ def linked_pairs(fps: np.ndarray, other: np.ndarray | None, distance: int, refer
         n = high[some] - low[some]
         i = np.repeat(np.arange(at, at + len(n)), n)
         j = np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low[some], n)
-        for k in range(1, len(reference)):
+        for k in range(1, left_table.shape[1]):
             if not len(i):
                 break
             near = np.abs(left_table[i, k] - right_table[j, k]) <= distance
@@ -137,35 +146,37 @@ def keys(fp: Column) -> Column:
 
 
 def in_blocks(sized: DataFrame, size: str, block: int, others: list[str] = []) -> DataFrame:
-    """(key, fp, others, own, x, y): rows of a key, with their number in size, dealt to the pairs (x, y) of its blocks."""
+    """(key, fp, others, own, x, y): rows of a key, with their number in size, dealt to the pairs (x, y) of its blocks, and these over tasks."""
     blocks = F.ceil(F.col(size) / block).cast("int")
     own = F.pmod(F.xxhash64("fp"), blocks).cast("int")
     # a row goes to every pair of blocks that its own is in; one block, the usual case, is the pair (0, 0)
-    return (
+    dealt = (
         sized.withColumns({"own": own, "blocks": blocks})
         .select("key", "fp", *others, "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("with"))
         .select("key", "fp", *others, "own", F.least("own", "with").alias("x"), F.greatest("own", "with").alias("y"))
     )
+    # comparing takes long for few bytes: a stated number of partitions, so that small ones are not put together
+    return dealt.repartition(int(sized.sparkSession.conf.get("spark.sql.shuffle.partitions")), "key", "x", "y")
 
 
 def links(distinct: DataFrame, distance: int = DISTANCE, block: int = BLOCK, n_pivots: int = PIVOTS) -> DataFrame:
     """(a, b) of fp: links that span every component of the fingerprints in distinct (fp), in either order."""
     if distance > 3:
         raise ValueError("the sixteen tables hold links of at most three bits")
-    rows = cut(distinct.select("fp", F.explode(keys(F.col("fp"))).alias("key")), "simhash-keys")
+    rows = pivot_table(distinct, n_pivots).select("fp", "table", F.explode(keys(F.col("fp"))).alias("key"))
     counts = cut(rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "simhash-buckets")
     sized = join_counted(rows, counts.withColumn("size", F.col("n")), "key", rows.count(), "inner")
-    placed = in_blocks(sized, "size", block)
-    fixed = pivots(n_pivots)
+    placed = in_blocks(sized, "size", block, ["table"])
 
     def compare(group: pd.DataFrame) -> pd.DataFrame:
         fp = group["fp"].to_numpy().astype(np.int64)
+        table = np.frombuffer(b"".join(group["table"]), np.uint8).reshape(len(fp), -1)
         if group["x"].iat[0] == group["y"].iat[0]:
-            pairs = linked_pairs(fp.view(np.uint64), None, distance, fixed)
+            pairs = linked_pairs(fp.view(np.uint64), table, None, None, distance)
         else:
             first = (group["own"] == group["x"]).to_numpy()
             at, to = np.flatnonzero(first), np.flatnonzero(~first)
-            pairs = ((at[i], to[j]) for i, j in linked_pairs(fp[at].view(np.uint64), fp[to].view(np.uint64), distance, fixed))
+            pairs = ((at[i], to[j]) for i, j in linked_pairs(fp[at].view(np.uint64), table[at], fp[to].view(np.uint64), table[to], distance))
         kept = np.array(forest(len(fp), pairs), np.int64).reshape(-1, 2)
         return pd.DataFrame({"a": fp[kept[:, 0]], "b": fp[kept[:, 1]]})
 
@@ -184,12 +195,14 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         least = cut(both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.count("*").alias("n")), "links-least")
         large = join_counted(both, least, "u", 2 * n, "inner").where("v > u").select(F.col("m").alias("lo"), F.col("v").alias("hi"))
         large = cut(large.where("lo < hi").distinct(), "links-large")
+        discard(least)
         # small star: a node and its lesser neighbours go to the least of them
         least = cut(large.groupBy("hi").agg(F.min("lo").alias("m"), F.count("*").alias("n")), "links-least")
         small = join_counted(large, least, "hi", large.count(), "inner")
         small = small.select(F.col("m").alias("lo"), F.col("lo").alias("hi")).union(least.select(F.col("m").alias("lo"), "hi"))
         after = cut(small.where("lo < hi").distinct(), "links")
         same = after.count() == n and after.exceptAll(edges).isEmpty()
+        discard(least, large, edges)
         edges = after
         if same:
             break
@@ -223,32 +236,27 @@ def joined_components(rows: DataFrame, edges: DataFrame, classes: DataFrame | No
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "root")
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", find: Callable = near_duplicates, mark: Callable = fingerprint) -> DataFrame:
-    """The rows of docs without all but one of each component: that with the least id stays, of equal ids one.
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", find: Callable = near_duplicates) -> DataFrame:
+    """The rows of docs without all but one of each component, with all their columns: that with the least id stays, of
+    rows with equal ids that with the least hash of id and text, of rows that share these too any one.
 
-    find gives the components, as near_duplicates does, and mark a text's fingerprint in them.
+    find gives the components, as near_duplicates does. The keys of the rows that go are sent to every task if they
+    are few enough; beyond that the rows are dealt by key.
     """
-    found = cut(find(docs, id_col=id_col, text_col=text_col), "simhash-found")
-    repeats = cut(found.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "simhash-repeats")
-    first = found.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    stay = first.select("doc_id").distinct()
-    kept = docs.join(stay, docs[id_col].eqNullSafe(stay["doc_id"]), "left_semi")
-    if repeats.isEmpty():
-        return kept
-    # an id that several rows share does not name a row: those rows go by their fingerprints too
-    alone = kept.join(repeats, kept[id_col].eqNullSafe(repeats["doc_id"]), "left_anti")
-    shared = kept.join(repeats, kept[id_col].eqNullSafe(repeats["doc_id"]), "left_semi")
-    schema, at = docs.schema, [docs.columns.index(id_col), docs.columns.index(text_col)]
-    columns = [f"c{i}" for i in range(len(schema))]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            fp = np.array([mark(t) for t in b.column(at[1]).to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(fp, pa.int64())], [*columns, "fp"])
-
-    kinds = ", ".join(f"{c} {f.dataType.simpleString()}" for c, f in zip(columns, schema))
-    marked = map_rows(shared, run, f"{kinds}, fp long")
-    roots = first.select(F.col("doc_id").alias("id"), F.conv("fingerprint", 16, -10).cast("long").alias("own"), "root").distinct()
-    marked = marked.join(roots, marked[columns[at[0]]].eqNullSafe(roots["id"]) & (marked["fp"] == roots["own"]))
-    one = marked.dropDuplicates([columns[at[0]], "root"]).select(*columns).toDF(*docs.columns)
-    return alone.unionByName(one) if len(set(docs.columns)) == len(docs.columns) else alone.union(one)
+    columns = [f"c{i}" for i in range(len(docs.columns))]
+    id_, text = (F.col(columns[docs.columns.index(c)]) for c in (id_col, text_col))
+    keyed = docs.toDF(*columns).withColumn("key", F.xxhash64(id_, id_.isNull(), text))
+    found = cut(find(keyed.select(F.struct(id_.isNull().alias("no"), id_.alias("id"), F.col("key").alias("key")).alias("doc_id"), text.alias("text"))), "simhash-found")
+    gone = cut(found.where(~found["doc_id"].eqNullSafe(found["component_id"])).select(F.col("doc_id.key").alias("gone")).distinct(), "simhash-gone")
+    kept = keyed.join(few(gone), F.col("key") == F.col("gone"), "left_anti")
+    repeats = found.where(found["doc_id"].eqNullSafe(found["component_id"])).groupBy(F.col("doc_id.key").alias("again")).agg(F.count("*").alias("n"))
+    repeats = cut(repeats.where("n > 1").select("again"), "simhash-repeats")
+    if not repeats.isEmpty():
+        again = F.col("key") == F.col("again")
+        kept = kept.join(few(repeats), again, "left_anti").union(kept.join(few(repeats), again, "left_semi").dropDuplicates(["key"]))
+    return kept.drop("key").toDF(*docs.columns)
+
+
+def few(keys: DataFrame) -> DataFrame:
+    """A written table of keys, with a hint to broadcast it if there are at most BROADCAST_KEYS."""
+    return F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
