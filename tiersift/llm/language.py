@@ -5,10 +5,11 @@ filters of several widths slide over a window, the largest value of each filter
 softmax layer gives the languages' probabilities. A text's probabilities come from the mean of its windows'
 log probabilities, weighted by their bytes. All windows of the whole text count.
 
-Training, in numpy on the driver: at most SAMPLE_ROWS labelled texts, drawn by hash of their ids and evenly
-over languages, give at most SNIPPETS windows of random place and length. Filters are trained through the
-vectors; for prediction, each filter's product with each byte's vector at each of its places is tabulated,
-so a window is a few table look-ups and additions.
+Training, in numpy on the driver: labelled texts are drawn by hash of their ids, evenly over all languages, and tasks
+cut windows of random place and length from them. At most SAMPLE_ROWS texts, or EACH a language where languages are
+many, give at most SNIPPETS windows, or EACH a language; only windows come to the driver. No language is left out.
+Filters are trained through the vectors; for prediction, each filter's product with each byte's vector at each of its
+places is tabulated, so a window is a few table look-ups and additions.
 
 Defined results: null text and text without letters are "und" with score 0, as is every text if nothing
 labelled was there to learn from; ties between languages go to the first by name; repeated rows get equal
@@ -25,12 +26,13 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import keep_rows, map_rows
 
 WINDOW, WIDTHS, FILTERS, VECTOR, BLOCK = 256, (2, 3, 4), 16, 8, 128
 #: Bounds of what training sees: texts, and windows cut from them.
-SAMPLE_ROWS, SNIPPETS, EPOCHS, BATCH = 2000, 4000, 5, 32
+SAMPLE_ROWS, SNIPPETS, EACH, EPOCHS, BATCH = 2000, 4000, 8, 5, 32
 NONE = "und"
 #: The score below which a pipeline takes a document's language for unknown.
 LEAST_SCORE = 0.4
@@ -144,44 +146,43 @@ class Network:
         return named, scores
 
 
-def labelled_sample(docs: DataFrame, rows: int = SAMPLE_ROWS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> list:
-    """At most ``rows`` rows (text, lang) that may be learned from: labelled, and not held out."""
-    known = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    known = known.where(F.col("lang").isNotNull() & F.coalesce(F.pmod(F.crc32(F.col("id").cast("binary")), F.lit(3)) != 1, F.lit(True)) & F.col("text").isNotNull())
-    # the most frequent languages, of which a bounded number is learned; evenly many texts of each
-    counts = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(rows // 20).collect()
-    if not counts:
-        return []
-    share, space = rows / len(counts), 1 << 30
-    chance = F.element_at(F.create_map(*[x for r in counts for x in (F.lit(r.lang), F.lit(int(space * min(1.0, 1.5 * share / r.n))))]), F.col("lang"))
-    drawn = known.where(F.col("lang").isin([r.lang for r in counts])).where(F.pmod(F.xxhash64("id", F.lit(1)), F.lit(space)) < chance)
-    ranked = drawn.withColumn("h", F.xxhash64("id", F.lit(2)))
-    return ranked.orderBy("h", "id", "text").limit(rows).select("text", "lang").collect()
-
-
-def snippets(sample: list, labels: list[str], most: int = SNIPPETS, seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
-    """Windows of the sample's texts, of random places and lengths, with the numbers of their labels."""
-    rng, x, y = np.random.default_rng(seed), [], []
+def training_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> tuple[list[str], np.ndarray, np.ndarray]:
+    """(labels, windows, the windows' labels by number) of texts that may be learned from: labelled, with a letter, and not held out."""
+    known = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
+    learn = F.coalesce(F.pmod(F.crc32(F.col("id").cast("binary")), F.lit(3)) != 1, F.lit(True))
+    known = known.where(F.col("lang").isNotNull() & learn & F.col("text").rlike(r"\p{L}"))
+    counts = known.groupBy("lang").agg(F.count("*").alias("n")).collect()  # a number for each language
+    labels = sorted(r.lang for r in counts)
+    if len(labels) < 2:
+        return labels, np.empty((0, WINDOW), np.uint8), np.empty(0, np.int64)
+    share, each = max(EACH, SAMPLE_ROWS // len(labels)), max(1, SNIPPETS // SAMPLE_ROWS)
+    space = 1 << 30  # some more than the share are drawn by chance, then the first of them taken
+    chances = docs.sparkSession.createDataFrame([(r.lang, int(space * min(1.0, (1.5 * share + 20) / r.n))) for r in counts], "lang string, chance long")
+    drawn = known.join(F.broadcast(chances), "lang").where(F.pmod(F.xxhash64("id", F.lit(1)), F.lit(space)) < F.col("chance"))
+    drawn = drawn.select("lang", F.xxhash64("id", F.lit(2)).alias("h"), "text")
+
+    def cut_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            made = []
+            for lang, h, text in zip(*[c.to_pylist() for c in b.columns]):
+                rng, data = np.random.default_rng([h & 0xFFFFFFFF, h >> 32 & 0xFFFFFFFF]), text.encode("utf-8", "replace")
+                for k in range(each):
+                    size = int(rng.integers(8, WINDOW + 1)) if rng.random() < 0.6 else WINDOW
+                    at = int(rng.integers(0, max(1, len(data) - size + 1)))
+                    made.append((lang, h, k, windows(data[at : at + size])[0][0].tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*made)) or [[]] * 4, (pa.string(), pa.int64(), pa.int32(), pa.binary()))], ["lang", "h", "k", "window"])
+
+    made = map_rows(drawn, cut_windows, "lang string, h long, k int, window binary")
+    order = Window.partitionBy("lang").orderBy("h", "k", "window")
+    taken = made.withColumn("place", F.row_number().over(order)).where(F.col("place") <= share * each).orderBy("h", "k", "lang", "window").collect()
     number = {lang: i for i, lang in enumerate(labels)}
-    each = max(1, most // max(1, len(sample)))
-    for r in sample:
-        if not _letter(r.text):
-            continue
-        data = r.text.encode()
-        for _ in range(each):
-            size = int(rng.integers(8, WINDOW + 1)) if rng.random() < 0.6 else WINDOW
-            at = int(rng.integers(0, max(1, len(data) - size + 1)))
-            x.append(windows(data[at : at + size])[0][0])
-            y.append(number[r.lang])
-    return np.array(x, np.uint8).reshape(-1, WINDOW), np.array(y, np.int64)
+    return labels, np.frombuffer(b"".join(r.window for r in taken), np.uint8).reshape(-1, WINDOW), np.array([number[r.lang] for r in taken], np.int64)
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Network:
-    sample = labelled_sample(docs, SAMPLE_ROWS, id_col, text_col, lang_col)
-    labels = sorted({r.lang for r in sample})
-    x, y = snippets(sample, labels)
+    labels, x, y = training_windows(docs, id_col, text_col, lang_col)
     net = Network(labels)
-    return net.fit(x, y) if len(labels) > 1 and len(x) else net
+    return net.fit(x, y) if len(x) else net
 
 
 def predict(docs: DataFrame, net: Network, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -3,7 +3,8 @@
 A capture is written as three records: the request, the response (or, where an equal payload has a response
 already, a revisit that refers to it) and metadata. Request and metadata name the response or revisit in
 WARC-Concurrent-To. Reading turns files into one row a record; assembly joins the records of a capture through
-those identifiers, by one grouping, and gives one nested row a capture, whatever the order of its records.
+those identifiers, all that a record names and in either direction, and gives one nested row a capture, whatever the
+order and the files of its records.
 
 Each record is a gzip member of its own. A task writes files under its attempt's names, and only files in the
 written manifest are read. Storage is whatever pyarrow.fs reaches from a URI.
@@ -37,7 +38,7 @@ FILE_BYTES = 64 << 20
 #: The capture time written when a table has none, and the revisit profile of the WARC standard.
 DATE = "1970-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-RECORD = "path string, record_id string, type string, concurrent_to string, target string, refers_to string, payload_bytes long, payload_digest string, fields map<string,string>"
+RECORD = "path string, record_id string, type string, concurrent_to array<string>, target string, refers_to string, payload_bytes long, payload_digest string, fields map<string,string>"
 
 
 def digest(payload: bytes) -> str:
@@ -81,7 +82,7 @@ def capture(page_id: int | None, url: str | None, html: str | None, winner: tupl
 
 
 def parse(stream: io.BufferedIOBase) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(headers by lower-case name, block) of every record in an uncompressed stream."""
+    """(headers by lower-case name, block) of every record in an uncompressed stream. Values of a repeated header are joined by a line break."""
     while line := stream.readline():
         if not line.strip():
             continue
@@ -90,7 +91,8 @@ def parse(stream: io.BufferedIOBase) -> Iterator[tuple[dict[str, str], bytes]]:
         headers: dict[str, str] = {}
         while (line := stream.readline()).strip():
             name, _, value = line.decode("utf-8", "replace").partition(":")
-            headers[name.strip().lower()] = value.strip()
+            name = name.strip().lower()
+            headers[name] = f"{headers[name]}\n{value.strip()}" if name in headers else value.strip()
         yield headers, stream.read(int(headers["content-length"]))
 
 
@@ -114,7 +116,7 @@ def row(path: str, headers: dict[str, str], block: bytes, with_payload: bool) ->
             size, name, payload = int(said.get("content-length", 0)), headers.get("warc-payload-digest", "").removeprefix("sha1:"), None
     elif kind == "metadata":
         more = fields(block)
-    found = (path, bare("warc-record-id"), kind, bare("warc-concurrent-to"), headers.get("warc-target-uri"), bare("warc-refers-to"), size, name, list(more.items()))
+    found = (path, bare("warc-record-id"), kind, [x.strip("<>") for x in headers.get("warc-concurrent-to", "").split("\n") if x], headers.get("warc-target-uri"), bare("warc-refers-to"), size, name, list(more.items()))
     return (*found, payload) if with_payload else found
 
 
@@ -159,7 +161,7 @@ def write(pages: DataFrame, min_bytes: int = 0, folder: str | None = None, id_co
 def read(paths: DataFrame, with_payload: bool = False) -> DataFrame:
     """One row a record of the files in paths (path): the schema RECORD, and payload binary if asked for."""
     limit_batches(paths.sparkSession)
-    kinds = [pa.string()] * 6 + [pa.int64(), pa.string(), pa.map_(pa.string(), pa.string())] + [pa.binary()] * with_payload
+    kinds = [pa.string()] * 3 + [pa.list_(pa.string())] + [pa.string()] * 2 + [pa.int64(), pa.string(), pa.map_(pa.string(), pa.string())] + [pa.binary()] * with_payload
     names = ["path", "record_id", "type", "concurrent_to", "target", "refers_to", "payload_bytes", "payload_digest", "fields"] + ["payload"] * with_payload
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -186,17 +188,22 @@ def read(paths: DataFrame, with_payload: bool = False) -> DataFrame:
 def transactions(records: DataFrame) -> DataFrame:
     """One nested row a capture: (capture_id, request, response, metadata).
 
-    A response or revisit is a capture by its record id; requests and metadata join it through concurrent_to.
-    A part that is missing is null; of several parts of a kind the first by record id stays. Records that
-    concern no capture (warcinfo, conversions, parts whose response is missing) give no row.
+    A response or revisit is a capture by its record id; requests and metadata join each capture that they name in
+    concurrent_to, or that names them. A part that is missing is null; of several parts of a kind the first by record
+    id stays. Records that concern no capture (warcinfo, conversions, parts whose response is missing) give no row.
     """
+    records = cut(records, "warc-records")
     parts = ["record_id", "type", "target", "refers_to", "payload_bytes", "payload_digest", "fields", *["payload"] * ("payload" in records.columns)]
     is_response = F.col("type").isin("response", "revisit")
-    keyed = records.where(is_response | (F.col("type").isin("request", "metadata") & F.col("concurrent_to").isNotNull()))
-    keyed = keyed.select("path", F.when(is_response, F.col("record_id")).otherwise(F.col("concurrent_to")).alias("capture_id"), F.struct(*parts).alias("part"))
+    part = F.struct(*parts).alias("part")
+    others = records.where(F.col("type").isin("request", "metadata"))
+    keyed = records.where(is_response).select(F.col("record_id").alias("capture_id"), part).union(others.select(F.explode(F.array_distinct("concurrent_to")).alias("capture_id"), part))
+    named = records.where(is_response & (F.size("concurrent_to") > 0)).select(F.col("record_id").alias("capture_id"), F.explode("concurrent_to").alias("named")).distinct()
+    if not named.isEmpty():
+        keyed = keyed.union(named.join(others.select("record_id", part), F.col("named") == F.col("record_id")).select("capture_id", "part"))
     of = lambda *kinds: F.min_by("part", F.when(F.col("part.type").isin(*kinds), F.col("part.record_id")))
-    joined = keyed.groupBy("path", "capture_id").agg(of("request").alias("request"), of("response", "revisit").alias("response"), of("metadata").alias("metadata"))
-    return joined.where("response is not null").drop("path")
+    joined = keyed.groupBy("capture_id").agg(of("request").alias("request"), of("response", "revisit").alias("response"), of("metadata").alias("metadata"))
+    return joined.where("response is not null")
 
 
 def captures(pages: DataFrame) -> DataFrame:
