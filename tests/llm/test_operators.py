@@ -247,7 +247,7 @@ def test_quality_model_is_a_distribution(spark):
 def test_main_text():
     pages = dom.labelled_pages(120, seed=77)
     got = dom.trained().extract([h for h, _ in pages])
-    assert sum(a == b for a, (_, b) in zip(got, pages)) >= 0.75 * len(pages)
+    assert sum(a == b for a, (_, b) in zip(got, pages)) >= 0.95 * len(pages)
 
 
 def test_main_text_cases(spark):
@@ -272,6 +272,8 @@ def test_sum_product_equals_enumeration():
     weights = {s: np.exp(sum(unary[i] * s[i] for i in range(6)) + sum(pair[kinds[i], s[parents[i]], s[i]] for i in range(1, 6))) for s in itertools.product((0, 1), repeat=6)}
     total = sum(weights.values())
     marginal, _, log_z = dom.sum_product(unary, pair, parents, kinds, levels)
+    by_node, _, by_node_z = dom._by_node(unary, pair, parents, kinds, list(range(6)), 1)
+    assert by_node == pytest.approx(marginal) and by_node_z == pytest.approx(log_z)
     assert log_z == pytest.approx(np.log(total))
     assert marginal == pytest.approx([sum(w for s, w in weights.items() if s[i]) / total for i in range(6)])
 
