@@ -63,3 +63,14 @@ def test_near_copies_in_blocks(spark):
     sets = near_copies.prefixes(texts, near_copies.repeated(texts, 2000)).cache()
     edges = near_copies.links(sets, block=3)
     assert simhash.components(edges).select("root").distinct().count() == 1 and simhash.components(edges).count() == 21
+
+
+def test_counts_are_dealt_over_parts(spark, monkeypatch):
+    monkeypatch.setattr(near_copies, "HELD", 50)
+    texts = spark.createDataFrame([(" ".join(f"w{i + j}" for j in range(30)),) for i in range(0, 200, 5)], "text string")
+    shards = near_copies.repeated(texts, 10**6)
+    assert len(shards) > 8
+    want = Counter(int(h) >> 32 for r in texts.collect() for h in near_copies.shingle_set(r.text))
+    keys = near_copies.np.array(sorted(want), near_copies.np.uint64)
+    found = near_copies.hash_arrays.Arrays(shards).find(keys)
+    assert [0 if n != n else int(n) for n in found] == [want[int(k)] if want[int(k)] > 1 else 0 for k in keys]
