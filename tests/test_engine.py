@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tiersift.functions import scalars
 from tiersift.functions.sections import is_method, is_noise, normal_title
 from tiersift.operators import hierarchy, retrieval, sessions
-from tiersift.sources import tables
+from tiersift.sources import corpus, tables
 
 
 def one(spark, expression):
@@ -28,9 +28,10 @@ def test_scores(spark):
 
 
 def test_expiry(spark):
-    now, day = 1_700_000_000_000, 86_400_000
-    for at, want in [(now - 30 * day, False), (now - 30 * day - 1, True), ((now - 31 * day) // 1000, True), (0, False), (None, False)]:
-        assert one(spark, scalars.is_expired(F.lit(at).cast("long"), now)) is want
+    now, day = 1_700_000_000, 86_400
+    cases = [(now - 30 * day, False), (now - 30 * day - 1, True), (0, False), (None, False), ((now + day) * 1000, False), ((now - 40 * day) * 1000, False)]
+    rows = spark.createDataFrame([(i, at) for i, (at, _) in enumerate(cases)], "i int, at long").select("i", scalars.is_expired(F.col("at"), now).alias("x")).collect()
+    assert {r.i: r.x for r in rows} == {i: want for i, (_, want) in enumerate(cases)}
 
 
 def test_frames(spark):
@@ -69,8 +70,9 @@ def test_bm25_equals_brute_force(spark):
 def test_dense_in_blocks(spark):
     vectors = spark.createDataFrame([(i, [math.cos(i * 0.7), math.sin(i * 0.7)]) for i in range(40)] + [(99, None)], "id long, embedding array<float>")
     asked = vectors.where("id % 20 = 0").withColumnRenamed("id", "qid")
-    whole, parts = (sorted((r.qid, r.rank, r.id) for r in retrieval.dense_topk(asked, vectors, 5, b).collect()) for b in (1000, 3))
-    assert whole == parts and len(whole) == 10
+    past, parts = (sorted((r.qid, r.rank, r.id) for r in retrieval.dense_topk(asked, vectors, 5, 3, most).collect()) for most in (100, 0))
+    assert past == parts and len(past) == 10
+    assert retrieval.dense_topk(asked.limit(0), vectors, 5).count() == 0
 
 
 def pack(texts, budget):
@@ -101,8 +103,10 @@ def test_packing(spark, sizes, budget):
 def test_promotion(spark):
     hits = spark.createDataFrame([(1, 1, 0.92), (1, 2, 0.82), (1, 3, 0.79), (1, 4, -1.0)], "qid int, id int, score double")
     parents = spark.createDataFrame([(1, "a"), (2, "b"), (3, "b"), (4, None)], "id int, parent_id string")
-    got = {r.parent_id: (r.score, r.rank) for r in retrieval.promote(hits, parents).collect()}
+    got = {r.parent_id: (r.score, r.rank) for r in retrieval.promote(hits, parents, "other").collect()}
     assert got["b"] == (pytest.approx(0.82 + 0.3 * 0.805 + 0.15), 1) and got["a"] == (pytest.approx(0.92 * 1.3), 2)
+    got = {r.parent_id: r.score for r in retrieval.promote(hits, parents, "general_overview").collect()}
+    assert got["b"] == pytest.approx(0.82 + 0.18 * 0.805 + 0.08)
 
 
 def test_compare_and_set(spark):
@@ -113,12 +117,20 @@ def test_compare_and_set(spark):
 
 
 def test_files_and_snapshots(spark, tmp_path):
-    (tmp_path / "in").mkdir()
-    for name in ("a.pdf", "B.PDF", "c.txt"):
-        (tmp_path / "in" / name).write_bytes(b"%PDF-1")
-    assert {r["name"] for r in tables.files(spark, str(tmp_path / "in")).collect()} == {"a.pdf", "B.PDF"}
-    tables.save_snapshot({"element": spark.range(3)}, str(tmp_path / "s"))
-    assert tables.load_snapshot(spark, str(tmp_path / "s"), "element").count() == 3
+    (tmp_path / "in" / "below").mkdir(parents=True)
+    for name in ("a.pdf", "B.PDF", "c.txt", "below/d.pdf"):
+        (tmp_path / "in" / name).write_bytes(b"%PDF-1" + name.encode())
+    listed = corpus.files(spark, str(tmp_path / "in"))
+    assert {r["name"] for r in listed.collect()} == {"a.pdf", "B.PDF"}
+    paths = [r.path for r in corpus.by_path(listed).collect()]
+    assert [r.path for r in corpus.selected(listed, '["%s", "nowhere", "%s", "%s"]' % (paths[1], paths[0], paths[1])).orderBy("place").collect()] == [paths[1], paths[0], paths[1]]
+    assert corpus.selected(listed, "no json").count() == corpus.selected(listed, None).count() == 0
+    contents = spark.createDataFrame([("b", b"2"), ("a", b"1")], "path string, content binary")
+    assert corpus.folder_name(contents) == __import__("hashlib").md5(b"12").hexdigest() and corpus.folder_name(contents.limit(0)) is None
+    store = str(tmp_path / "s")
+    tables.save_snapshot({"element": spark.range(3)}, store)
+    tables.save_snapshot({"element": tables.upserted(tables.load_snapshot(spark, store, "element"), spark.range(2, 5).toDF("id"), "id")}, store)  # reads what it replaces
+    assert tables.load_snapshot(spark, store, "element").count() == 5 and tables.snapshot_there(spark, store) and not tables.snapshot_there(spark, store + "x")
 
 
 def test_entry(spark):

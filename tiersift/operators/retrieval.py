@@ -1,79 +1,149 @@
-"""Retrieval arms and their fusion, for batches of queries."""
+"""Retrieval arms, their fusion, and the cuts around reranking, for batches of queries."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.scalars import distance_score, tokens
+from ..functions.scalars import blend_weights, distance_score, positive_score, tokens
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 RRF_K, RRF_SCALE = 60, 100.0
+#: Weights of a parent's mean child and of each child beyond the first, by intent; cuts after a parents' reranking.
+PARENT_WEIGHTS = {"fact_qa": (0.3, 0.1), "general_overview": (0.18, 0.08)}
+PARENT_CUTS = {"fact_qa": 0.7, "general_overview": 0.78}
+PRESCREEN, CHILD_PERCENT, CHILD_CUT = 0.55, 0.5, 0.7
 #: Rows of a block of vectors, and the places to which a distance is rounded so that ties are ties.
 BLOCK, PLACES = 1024, 6
+#: Queries up to which their vectors, or their terms, go to every task; more are dealt over tasks.
+MOST_VECTORS, MOST_TERMS = 50_000, 1_000_000
 
 
 def ranked(df: DataFrame, by: list[str], score: Column, *ties: str, name: str = "rank") -> DataFrame:
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(score, *ties)))
 
 
-def dense_topk(queries: DataFrame, vectors: DataFrame, n: int, block: int = BLOCK) -> DataFrame:
+def _unit(rows: list) -> np.ndarray:
+    x = np.array(rows, np.float64)
+    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+
+
+def dense_topk(queries: DataFrame, vectors: DataFrame, n: int, block: int = BLOCK, most: int = MOST_VECTORS) -> DataFrame:
     """(qid, id, distance, score, rank): the exact n nearest of vectors (id, embedding) to each query (qid, embedding).
 
-    Both sides are cut into blocks of rows; each vector block meets each query block once, in one matrix
-    product that keeps n a query, and only those are ranked. Null vectors match nothing.
+    The vectors of up to ``most`` queries go to every task, which streams its own rows past them and passes on no more than n
+    and their ties a query and batch. More queries meet the vectors in blocks, as both sides are then large. Null
+    vectors match nothing.
     """
+    asked = queries.where("embedding is not null").select("qid", "embedding")
+    found = _in_blocks(asked, vectors, n, block) if asked.count() > most else _past_queries(asked, vectors, n)
+    top = ranked(found, ["qid"], F.asc("distance"), "id").where(F.col("rank") <= n)
+    return top.select("qid", "id", "distance", distance_score(F.col("distance")).alias("score"), "rank")
+
+
+def _past_queries(asked: DataFrame, vectors: DataFrame, n: int) -> DataFrame:
+    rows = asked.collect()  # at most ``most``, counted before
+    kind = f"qid {asked.schema['qid'].dataType.simpleString()}, id {vectors.schema['id'].dataType.simpleString()}, distance double"
+    if not rows:
+        return vectors.sparkSession.createDataFrame([], kind)
+    shared = vectors.sparkSession.sparkContext.broadcast(([r.qid for r in rows], _unit([r.embedding for r in rows])))
 
+    def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        qids, q = shared.value
+        for b in batches:
+            for at in range(0, b.num_rows, BLOCK):
+                some = b.slice(at, BLOCK)
+                flat = some.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+                v = flat.reshape(some.num_rows, -1)
+                v = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
+                d = np.round(1 - q @ v.T, PLACES) + 0.0
+                last = np.partition(d, min(n, d.shape[1]) - 1, axis=1)[:, min(n, d.shape[1]) - 1]
+                i, j = np.nonzero(d <= last[:, None])
+                yield pa.RecordBatch.from_arrays([pa.array([qids[k] for k in i.tolist()]), some.column(0).take(pa.array(j)), pa.array(d[i, j])], ["qid", "id", "distance"])
+
+    return vectors.where("embedding is not null").select("id", "embedding").mapInArrow(nearest, kind)
+
+
+def _in_blocks(asked: DataFrame, vectors: DataFrame, n: int, block: int) -> DataFrame:
     def blocks(df: DataFrame, id_col: str, name: str, size: int) -> DataFrame:
         numbered = df.where("embedding is not null").select(id_col, "embedding", (F.monotonically_increasing_id() / size).cast("long").alias(name))
         return numbered.groupBy(name).agg(F.collect_list(F.struct(id_col, "embedding")).alias(f"{name}_rows"))
 
     def nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def unit(rows):
-            x = np.array([r["embedding"] for r in rows], np.float64)
-            return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
-
         for b in batches:
             for q, v in zip(b["q_rows"], b["v_rows"]):
                 ids = np.array([r["id"] for r in v])
-                d = np.round(1 - unit(q) @ unit(v).T, PLACES) + 0.0
+                d = np.round(1 - _unit([r["embedding"] for r in q]) @ _unit([r["embedding"] for r in v]).T, PLACES) + 0.0
                 for r, row in zip(q, d):
                     best = np.lexsort((ids, row))[:n]
                     yield pd.DataFrame({"qid": r["qid"], "id": ids[best], "distance": row[best]})
 
-    pairs = blocks(queries, "qid", "q", block).join(blocks(vectors, "id", "v", block), F.lit(True))  # blocks of a stated query set
-    found = pairs.select("q_rows", "v_rows").mapInPandas(nearest, "qid long, id long, distance double")
-    top = ranked(found, ["qid"], F.asc("distance"), "id").where(F.col("rank") <= n)
-    return top.select("qid", "id", "distance", distance_score(F.col("distance")).alias("score"), "rank")
+    pairs = blocks(asked, "qid", "q", block).join(blocks(vectors, "id", "v", block), F.lit(True))  # blocks of a stated query set
+    return pairs.select("q_rows", "v_rows").mapInPandas(nearest, "qid long, id long, distance double")
+
+
+def term_statistics(documents: DataFrame) -> DataFrame:
+    """(term, df, dl): the documents (id, text) that have each term, of one pass; the empty term has all, and their tokens."""
+    words = documents.select(tokens(F.col("text")).alias("words"))
+    every = F.concat(F.transform(F.array_distinct("words"), lambda w: F.struct(w.alias("term"), F.lit(0).alias("dl"))), F.array(F.struct(F.lit("").alias("term"), F.size("words").alias("dl"))))
+    return words.select(F.explode(every).alias("x")).groupBy("x.term").agg(F.count("*").alias("df"), F.sum("x.dl").alias("dl"))
+
+
+def postings(documents: DataFrame) -> DataFrame:
+    """(term, id, tf, dl): the postings of documents (id, text), to be written and read again as an index."""
+    docs = documents.select("id", tokens(F.col("text")).alias("words")).withColumn("dl", F.size("words"))
+    return docs.select("id", "dl", F.explode("words").alias("term")).groupBy("term", "id", "dl").agg(F.count("*").alias("tf")).select("term", "id", "tf", "dl")
 
 
-def bm25_topk(queries: DataFrame, documents: DataFrame, n: int) -> DataFrame:
+def bm25_topk(queries: DataFrame, documents: DataFrame, n: int, index: DataFrame | None = None) -> DataFrame:
     """(qid, id, score, rank): the n documents (id, text) that score highest for each query (qid, text), by Okapi BM25.
 
-    A term in over half of the documents gets EPSILON of the mean idf. Only scores above 0 count.
+    A term in over half of the documents gets EPSILON of the mean idf. Only scores above 0 count, after the cut to n.
+    One pass over the documents gives the statistics; a second passes on only the queries' terms, unless ``index`` has
+    the documents' postings.
     """
-    docs = documents.select("id", tokens(F.col("text")).alias("words")).withColumn("dl", F.size("words"))
-    size = docs.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))
-    tf = docs.select("id", "dl", F.explode("words").alias("term")).groupBy("id", "dl", "term").agg(F.count("*").alias("tf"))
-    idf = tf.groupBy("term").agg(F.count("*").alias("df")).join(F.broadcast(size)).withColumn("idf", F.log(F.col("n_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
+    stats = term_statistics(documents)
+    totals = stats.where("term = ''").select(F.col("df").alias("n_docs"), (F.col("dl") / F.col("df")).alias("avgdl"))  # one row
+    idf = stats.where("term <> ''").join(F.broadcast(totals)).withColumn("idf", F.log(F.col("n_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     mean = idf.agg(F.avg("idf").alias("mean_idf"))  # one row
     wanted = queries.select("qid", F.explode(tokens(F.col("text"))).alias("term")).groupBy("qid", "term").agg(F.count("*").alias("qtf"))
-    weighed = wanted.join(idf, "term").join(F.broadcast(mean))
+    few = wanted.count() <= MOST_TERMS
     weight = F.when(F.col("idf") < 0, EPSILON * F.col("mean_idf")).otherwise(F.col("idf"))
-    weighed = weighed.select("qid", "term", "avgdl", (F.col("qtf") * weight).alias("w"))
+    weighed = (F.broadcast(wanted) if few else wanted).join(idf, "term").join(F.broadcast(mean)).select("qid", "term", "avgdl", (F.col("qtf") * weight).alias("w"))
+    if index is not None:
+        tf = index
+    else:
+        docs = documents.select("id", tokens(F.col("text")).alias("words")).withColumn("dl", F.size("words"))
+        asked = wanted.select("term").distinct()
+        words = docs.select("id", "dl", F.explode("words").alias("term"))
+        tf = words.join(F.broadcast(asked) if few else asked, "term").groupBy("id", "dl", "term").agg(F.count("*").alias("tf"))
     part = F.col("w") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    scores = tf.join(weighed, "term").groupBy("qid", "id").agg(F.round(F.sum(part), PLACES).alias("score"))
+    scores = tf.join(F.broadcast(weighed) if few else weighed, "term").groupBy("qid", "id").agg(F.round(F.sum(part), PLACES).alias("score"))
     return ranked(scores, ["qid"], F.desc("score"), "id").where((F.col("rank") <= n) & (F.col("score") > 0))
 
 
+def allowed_only(rows: DataFrame, allowed: DataFrame | None, key: str) -> DataFrame:
+    """The rows whose key is in allowed (key), before any ranking or statistics; all of them if there is no list."""
+    return rows if allowed is None else rows.join(allowed.select(key).distinct(), key, "left_semi")
+
+
+def without_noise(hits: DataFrame, titles: DataFrame, noise: Callable[[Column], Column]) -> DataFrame:
+    """hits, ranked and cut already, without those of noise titles (id, title): fewer than n may be left."""
+    return hits.join(titles.select("id", "title"), "id", "left").where(~F.coalesce(noise(F.col("title")), F.lit(False))).drop("title")
+
+
 def rrf(lists: dict[str, tuple[DataFrame, float]], k: int = RRF_K, scale: float = RRF_SCALE) -> DataFrame:
-    """(qid, id, score, rank): weighted reciprocal rank fusion of ranked lists (qid, id, rank), by one union and one aggregation."""
-    parts = [df.select("qid", "id", (weight * scale / (k + F.col("rank"))).alias("part")) for df, weight in lists.values()]
+    """(qid, id, score, rank): weighted reciprocal rank fusion of lists (qid, id, score), by one union and one aggregation.
+
+    A list's ranks are by score: a hit without any distance scores 1 and so stands behind all that are nearer than 1.
+    """
+    parts = [ranked(df.select("qid", "id", positive_score(F.col("score")).alias("score")), ["qid"], F.desc("score"), "id").select("qid", "id", (weight * scale / (k + F.col("rank"))).alias("part")) for df, weight in lists.values()]
     every = parts[0]
     for p in parts[1:]:
         every = every.unionByName(p)
@@ -81,17 +151,45 @@ def rrf(lists: dict[str, tuple[DataFrame, float]], k: int = RRF_K, scale: float
 
 
 def cross_query_rrf(hits: DataFrame, group: str, k: int = RRF_K, scale: float = RRF_SCALE) -> DataFrame:
-    """Ranked lists of the sub-queries of a question fused into one list a question."""
+    """Ranked lists of the sub-queries of a question fused into one list a question; first_qid gives the payload."""
     fused = hits.groupBy(group, "id").agg(F.round(F.sum(scale / (k + F.col("rank"))), PLACES).alias("score"), F.min("qid").alias("first_qid"))
     return ranked(fused, [group], F.desc("score"), "id")
 
 
+def multi_query_fuse(hits: DataFrame, group: str, per_query: int = 5, most: int = 4, boost: float = 0.15) -> DataFrame:
+    """(group, key, hit_count, score, first_order, rank) of hits (group, qid, rank, key, score): a hit that several sub-queries have scores higher.
+
+    Up to ``most`` hits stay in the order they came in; of more, the best ``most`` do.
+    """
+    seen = hits.where(F.col("rank") <= per_query)
+    merged = seen.groupBy(group, "key").agg(F.count_distinct("qid").alias("hit_count"), F.max("score").alias("best"), F.min(F.struct("qid", "rank")).alias("first"))
+    whole = Window.partitionBy(group)
+    merged = merged.withColumn("first_order", F.row_number().over(whole.orderBy("first", "key"))).withColumn("n", F.count("*").over(whole))
+    merged = merged.withColumn("score", F.round(F.greatest("best", F.lit(0.0)) * (1 + boost * F.col("hit_count")), PLACES + 2))
+    by = F.when(F.col("n") <= most, 0.0).otherwise(-F.col("score"))
+    out = merged.withColumn("rank", F.row_number().over(whole.orderBy(by, "first_order")))
+    return out.where(F.col("rank") <= most).select(group, "key", "hit_count", "score", "first_order", "rank")
+
+
 def rank_fusion(hits: DataFrame, original: str, model: str, w_original: float = 0.45, w_model: float = 0.55, bias: int = 60, scale: float = 100.0) -> DataFrame:
     """hits with ranks by two scores, and fused_score from the ranks alone, which no scaling of a score changes."""
     out = ranked(ranked(hits, ["qid"], F.desc(original), "id", name="rank_original"), ["qid"], F.desc(model), "id", name="rank_model")
     return out.withColumn("fused_score", F.round((w_original / (F.col("rank_original") + bias) + w_model / (F.col("rank_model") + bias)) * scale, PLACES))
 
 
+def rerank(hits: DataFrame, model: Callable[[DataFrame], DataFrame] | None, top_k: int | None = None, w_original: float = 0.5, w_model: float = 0.5) -> DataFrame:
+    """(qid, id, score, rank) of hits (qid, id, score, ...) in the order of a model's scores and their own.
+
+    model gives hits with a column model_score; without a model the order stays.
+    """
+    if model is None:
+        out = ranked(hits.select("qid", "id", "score"), ["qid"], F.desc("score"), "id")
+    else:
+        fused = rank_fusion(model(hits), "score", "model_score", *blend_weights(w_original, w_model))
+        out = ranked(fused.select("qid", "id", F.col("fused_score").alias("score")), ["qid"], F.desc("score"), "id")
+    return out if top_k is None else out.where(F.col("rank") <= top_k)
+
+
 def min_max(hits: DataFrame, score: str) -> DataFrame:
     """hits with the score brought to 0 to 1 within a query; 0.5 where all are equal."""
     w = Window.partitionBy("qid")
@@ -99,21 +197,65 @@ def min_max(hits: DataFrame, score: str) -> DataFrame:
     return hits.withColumn("normal", F.round(F.when(high - low > 1e-8, (F.col(score) - low) / (high - low)).otherwise(0.5), PLACES))
 
 
-def keep_percent(hits: DataFrame, percent: float) -> DataFrame:
+def keep_percent(hits: DataFrame, percent: float = CHILD_PERCENT) -> DataFrame:
     """The first part of each ranked list, one hit at least."""
     n = F.count("*").over(Window.partitionBy("qid"))
     return hits.withColumn("_n", n).where(F.col("rank") <= F.greatest(F.lit(1), F.ceil(F.col("_n") * min(1.0, max(0.05, percent))))).drop("_n")
 
 
+def keep_ratio(hits: DataFrame, ratio: float, all_if_none: bool = False) -> DataFrame:
+    """Hits of at least a part of the best score; the first one if no other is, or all if the best is 0 or less and so asked."""
+    top = F.max("score").over(Window.partitionBy("qid"))
+    good = (F.col("score") >= F.col("_top") * ratio) | (F.col("rank") == 1)
+    return hits.withColumn("_top", top).where(good | (F.lit(all_if_none) & (F.col("_top") <= 0))).drop("_top")
+
+
 def keep_dynamic(hits: DataFrame, ratio: float = 0.7, least: int = 1, most: int = 6) -> DataFrame:
     """Hits within a ratio of the best score, at least and at most so many."""
     top = F.max("score").over(Window.partitionBy("qid"))
     return hits.withColumn("_top", top).where((F.col("rank") <= most) & ((F.col("score") >= F.col("_top") * ratio) | (F.col("rank") <= least))).drop("_top")
 
 
-def promote(children: DataFrame, parents: DataFrame, support: float = 0.3, count: float = 0.15) -> DataFrame:
-    """(qid, parent_id, score, n_children, rank): children (qid, id, score) to their parents (id, parent_id), scored by the best child, the mean and the number."""
+def promote(children: DataFrame, parents: DataFrame, intent: str = "fact_qa") -> DataFrame:
+    """(qid, parent_id, score, n_children, child_sum, best, rank): children (qid, id, score) to their parents (id, parent_id).
+
+    A parent scores its best child, and by intent a part of the mean and something for each child beyond the first.
+    Children without a parent, or whose parent is not there, are dropped.
+    """
+    support, count = PARENT_WEIGHTS.get(intent, (0.3, 0.15))
     held = children.join(parents, "id").where("parent_id is not null").withColumn("s", F.greatest("score", F.lit(0.0)))
     n = F.count("*")
     score = F.max("s") + support * F.avg("s") + count * (n - 1)
-    return ranked(held.groupBy("qid", "parent_id").agg(F.round(score, 2 * PLACES).alias("score"), n.alias("n_children")), ["qid"], F.desc("score"), "parent_id")
+    rolled = held.groupBy("qid", "parent_id").agg(F.round(score, PLACES).alias("score"), n.alias("n_children"), F.round(F.sum("score"), PLACES).alias("child_sum"), F.round(F.max("s"), PLACES).alias("best"))
+    return ranked(rolled, ["qid"], F.desc("score"), "parent_id")
+
+
+def chosen_children(hits: DataFrame, model=None, intent: str = "fact_qa") -> DataFrame:
+    """Children for facts: the first part by rank after reranking, and of these those near the best."""
+    kept = keep_percent(rerank(hits, model))
+    return keep_ratio(ranked(kept.drop("rank"), ["qid"], F.desc("score"), "id"), CHILD_CUT)
+
+
+def chosen_parents(parents: DataFrame, model=None, intent: str = "fact_qa", most: int | None = None) -> DataFrame:
+    """Parents (qid, parent_id, score, rank) near the best, reranked, and of these again those near the best."""
+    screened = keep_ratio(parents, PRESCREEN).withColumnRenamed("parent_id", "id")
+    weights = (0.6, 0.4) if intent == "general_overview" else (0.5, 0.5)
+    out = keep_ratio(rerank(screened, model, None, *weights), PARENT_CUTS.get(intent, CHILD_CUT)).withColumnRenamed("id", "parent_id")
+    return out if most is None else out.where(F.col("rank") <= most)
+
+
+def retrieve(queries: DataFrame, vectors: DataFrame, documents: DataFrame, parents: DataFrame, *, intent: str = "fact_qa", depth: int = 54, allowed: DataFrame | None = None, titles: DataFrame | None = None, noise=None, model=None) -> DataFrame:
+    """(qid, parent_id, score, rank): the whole chain for queries (qid, text, embedding).
+
+    vectors (id, embedding) and documents (id, text) are the children's; allowed (id) limits them before anything is
+    counted; titles (id, title) of noise are dropped after each arm's cut.
+    """
+    from ..functions.scalars import fusion_weights
+
+    dense = dense_topk(queries, allowed_only(vectors, allowed, "id"), depth)
+    sparse = bm25_topk(queries, allowed_only(documents, allowed, "id"), depth)
+    if titles is not None:
+        dense, sparse = (without_noise(x, titles, noise) for x in (dense, sparse))
+    w_dense, w_sparse = fusion_weights(intent, "element")
+    fused = rrf({"dense": (dense, w_dense), "sparse": (sparse, w_sparse)})
+    return chosen_parents(promote(chosen_children(fused, model, intent), parents, intent), model, intent)
