@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 #: The mark after a cut block, the least distance that counts as one, Chinese characters, and tokens.
 CUT_MARK, TINY = "\n...[内容截断]", 1e-8
+#: White space of any script.
+WHITE = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 CHINESE = "[一-鿿]"
 TOKEN = f"{CHINESE}|[a-zA-Z0-9_]+"
 #: Dense and sparse weights by intent and by whether whole papers are ranked.
@@ -19,7 +21,7 @@ DAY_S, EXPIRY_DAYS, TITLE_CHARS, NEW_TITLE, RENAME_CHARS = 86_400, 30, 24, "新
 
 def strip(text: Column) -> Column:
     """Without white space of any script at its ends."""
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    return F.btrim(text, F.lit(WHITE))
 
 
 def distance_score(distance: Column) -> Column:
@@ -69,13 +71,13 @@ def chinese_ratio(text: Column) -> Column:
 def shortened(text: Column, limit: int) -> Column:
     """Blanks and tabs collapsed, at most one empty line kept, and cut after limit characters with three dots."""
     flat = F.regexp_replace(F.regexp_replace(strip(F.coalesce(text, F.lit(""))), r"[ \t]+", " "), r"\n{3,}", "\n\n")
-    return F.when(F.char_length(flat) <= limit, flat).otherwise(F.concat(F.regexp_replace(F.left(flat, F.lit(limit)), r"(?U)\s+$", ""), F.lit("...")))
+    return F.when(F.char_length(flat) <= limit, flat).otherwise(F.concat(F.rtrim(F.left(flat, F.lit(limit)), F.lit(WHITE)), F.lit("...")))
 
 
 def cut_block(text: Column, room: Column) -> Column:
     """A block in the room that is left: whole, or cut with a mark, or cut bare if the mark has no room."""
     mark = F.lit(CUT_MARK)
-    short = F.concat(F.regexp_replace(F.left(text, room - F.char_length(mark)), r"(?U)\s+$", ""), mark)
+    short = F.concat(F.rtrim(F.left(text, room - F.char_length(mark)), F.lit(WHITE)), mark)
     return F.when(room <= 0, F.lit("")).when(F.char_length(text) <= room, text).when(room <= F.char_length(mark), F.left(text, room)).otherwise(short)
 
 
