@@ -106,8 +106,10 @@ def positional_index(docs: DataFrame, wanted: DataFrame, n: int = WINDOW) -> Dat
     found = every.join(small(pairs, "pair_term", "pair_with"), (F.col("term") == F.col("pair_term")) & (F.col("with") == F.col("pair_with")), "left")
     found = found.join(small(alone, "alone_term"), F.col("term") == F.col("alone_term"), "left").where("pair_term is not null or alone_term is not null")
     base = F.greatest(F.col("pos") - n, F.lit(0))
-    kinds = F.filter(F.array(F.when(F.col("pair_term").isNotNull(), F.col("with")), F.when(F.col("alone_term").isNotNull(), F.lit(""))), lambda x: x.isNotNull())
-    kept = found.select("term", "row_key", "pos", base.alias("base"), F.slice("ws", base + 1, F.col("pos") - base + n + 1).alias("around"), F.explode(kinds).alias("with"))
+    # the words around are cut here, so that what follows carries these and not a document's words
+    pair, single = F.when(F.col("pair_term").isNotNull(), F.col("with")), F.when(F.col("alone_term").isNotNull(), F.lit(""))
+    found = found.select("term", "row_key", "pos", base.alias("base"), F.slice("ws", base + 1, F.col("pos") - base + n + 1).alias("around"), F.array(pair, single).alias("kinds"))
+    kept = found.select("term", "row_key", "pos", "base", "around", F.explode("kinds").alias("with")).where("with is not null")
     return cut(kept.select("term", "with", "row_key", "pos", "base", "around").sortWithinPartitions("term"), "positional-index")
 
 
