@@ -9,11 +9,14 @@ rules after it (shorter licences that share sentences) don't see them.
 Everything happens within a row: there is no shuffle, and no key that rows could pile up on.
 
 Defined results: null and empty text have no licences; a repeated row is scanned again; a licence found
-several times in a text is named once; an empty table gives an empty result; other columns are not read.
+several times in a text is named once; a tag "SPDX-License-Identifier:" counts where one identifier of the table
+follows, with "+" as "or later", and gives nothing where an expression of several follows; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,7 +27,7 @@ ENDS = rf"[.!?;:]+{SPACE}"
 BLANK = r"\n[\x20\x09\x0D]*\n"
 #: Known licence sentences, lower case, with single spaces for all but letters and digits.
 SENTENCES = {
-    "mit-notice": ["released under the mit license", "licensed under the mit license", "mit license", "the mit license"],
+    "mit-notice": ["released under the mit license", "licensed under the mit license", "mit license", "the mit license", "the mit license mit"],
     "mit-grant": [
         "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions"
     ],
@@ -36,6 +39,7 @@ SENTENCES = {
         "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"
     ],
     "apache-2-notice": ["licensed under the apache license version 2 0", "licensed under the apache license version 2 0 the license"],
+    "apache-2-title": ["apache license version 2 0 january 2004", "apache license version 2 0 january 2004 http www apache org licenses"],
     "apache-2-comply": ["you may not use this file except in compliance with the license"],
     "gpl-2-notice": ["this work is licensed under the gnu general public license version 2", "licensed under the gnu general public license version 2"],
     "gpl-3-notice": ["this work is licensed under the gnu general public license version 3", "licensed under the gnu general public license version 3"],
@@ -50,6 +54,42 @@ SENTENCES = {
     "gpl-3-terms": [
         "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version"
     ],
+    "gpl-2-title": ["gnu general public license version 2 june 1991"],
+    "gpl-3-title": ["gnu general public license version 3 29 june 2007"],
+    "lgpl-library": ["this library is free software"],
+    "lgpl-terms": ["you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation"],
+    "lgpl-2.1-later": ["either version 2 1 of the license or at your option any later version"],
+    "lgpl-2.1-terms": [
+        "you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1 of the license or at your option any later version"
+    ],
+    "lgpl-3-terms": [
+        "you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version"
+    ],
+    "lgpl-2.1-title": ["gnu lesser general public license version 2 1 february 1999"],
+    "lgpl-3-title": ["gnu lesser general public license version 3 29 june 2007"],
+    "agpl-terms": ["you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation"],
+    "agpl-3-terms": [
+        "you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version"
+    ],
+    "agpl-3-title": ["gnu affero general public license version 3 19 november 2007"],
+    # the notice's "v. 2.0." is cut at its points
+    "mpl-form": ["this source code form is subject to the terms of the mozilla public license v"],
+    "mpl-2-copy": [
+        "if a copy of the mpl was not distributed with this file you can obtain one at http mozilla org mpl 2 0",
+        "if a copy of the mpl was not distributed with this file you can obtain one at https mozilla org mpl 2 0",
+    ],
+    "mpl-2-title": ["mozilla public license version 2 0"],
+    "epl-1-notice": [
+        "this program and the accompanying materials are made available under the terms of the eclipse public license v1 0 which accompanies this distribution and is available at http www eclipse org legal epl v10 html"
+    ],
+    "epl-2-notice": [
+        "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0 which is available at http www eclipse org legal epl 2 0",
+        "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0 which is available at https www eclipse org legal epl 2 0",
+    ],
+    "epl-2-title": ["eclipse public license v 2 0"],
+    "cc0-title": ["cc0 1 0 universal", "creative commons cc0 1 0 universal"],
+    "cc0-waiver": ["to the extent possible under law the author s have dedicated all copyright and related and neighboring rights to this software to the public domain worldwide"],
+    "unlicense": ["this is free and unencumbered software released into the public domain"],
     "bsd-grant": ["redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"],
     "bsd-source": ["redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer"],
     "bsd-binary": [
@@ -65,6 +105,13 @@ SENTENCES = {
     "cc-by-nc-3-notice": ["licensed under cc by nc 3 0"],
     "cc-by-nc-4-notice": ["licensed under cc by nc 4 0"],
 }
+#: Identifiers that may stand after a tag "SPDX-License-Identifier:".
+TAGS = (
+    "MIT ISC Apache-2.0 BSD-2-Clause BSD-3-Clause GPL-2.0 GPL-2.0-only GPL-2.0-or-later GPL-3.0 GPL-3.0-only GPL-3.0-or-later LGPL-2.1 LGPL-2.1-only "
+    "LGPL-2.1-or-later LGPL-3.0 LGPL-3.0-only LGPL-3.0-or-later AGPL-3.0 AGPL-3.0-only AGPL-3.0-or-later MPL-2.0 EPL-1.0 EPL-2.0 CC0-1.0 CC-BY-3.0 CC-BY-4.0 "
+    "CC-BY-SA-3.0 CC-BY-SA-4.0 Unlicense"
+).split()
+SENTENCES |= {"spdx": ["spdx license identifier"]} | {f"tag-{t}": [re.sub("[^a-z0-9]+", " ", t.lower())] for t in TAGS}
 #: Ordered rules, each a licence and a sequence of sentence identifiers.
 RULES = [
     ("BSD-3-Clause", ["bsd-grant", "bsd-source", "bsd-binary", "bsd-names"]),
@@ -75,18 +122,39 @@ RULES = [
     ("ISC", ["isc-grant"]),
     ("Apache-2.0", ["apache-2-notice", "apache-2-comply"]),
     ("Apache-2.0", ["apache-2-notice"]),
+    ("Apache-2.0", ["apache-2-title"]),
     ("GPL-2.0", ["gpl-2-notice"]),
     ("GPL-3.0", ["gpl-3-notice"]),
     ("GPL-2.0-or-later", ["gpl-program", "gpl-terms", "gpl-2-later"]),
     ("GPL-2.0-or-later", ["gpl-program", "gpl-2-terms"]),
     ("GPL-3.0-or-later", ["gpl-program", "gpl-terms", "gpl-3-later"]),
     ("GPL-3.0-or-later", ["gpl-program", "gpl-3-terms"]),
+    ("GPL-2.0", ["gpl-2-title"]),
+    ("GPL-3.0", ["gpl-3-title"]),
+    ("LGPL-2.1-or-later", ["lgpl-terms", "lgpl-2.1-later"]),
+    ("LGPL-2.1-or-later", ["lgpl-2.1-terms"]),
+    ("LGPL-3.0-or-later", ["lgpl-terms", "gpl-3-later"]),
+    ("LGPL-3.0-or-later", ["lgpl-3-terms"]),
+    ("LGPL-2.1", ["lgpl-2.1-title"]),
+    ("LGPL-3.0", ["lgpl-3-title"]),
+    ("AGPL-3.0-or-later", ["agpl-terms", "gpl-3-later"]),
+    ("AGPL-3.0-or-later", ["agpl-3-terms"]),
+    ("AGPL-3.0", ["agpl-3-title"]),
+    ("MPL-2.0", ["mpl-form", "mpl-2-copy"]),
+    ("MPL-2.0", ["mpl-2-title"]),
+    ("EPL-1.0", ["epl-1-notice"]),
+    ("EPL-2.0", ["epl-2-notice"]),
+    ("EPL-2.0", ["epl-2-title"]),
+    ("CC0-1.0", ["cc0-title"]),
+    ("CC0-1.0", ["cc0-waiver"]),
+    ("Unlicense", ["unlicense"]),
     ("CC-BY-3.0", ["cc-by-3-notice"]),
     ("CC-BY-4.0", ["cc-by-4-notice"]),
     ("CC-BY-SA-3.0", ["cc-by-sa-3-notice"]),
     ("CC-BY-SA-4.0", ["cc-by-sa-4-notice"]),
     ("CC-BY-NC-3.0", ["cc-by-nc-3-notice"]),
     ("CC-BY-NC-4.0", ["cc-by-nc-4-notice"]),
+    *[(t, ["spdx", f"tag-{t}"]) for t in TAGS],
 ]
 KNOWN = {s: name for name, sentences in SENTENCES.items() for s in sentences}
 
@@ -95,7 +163,7 @@ def identifiers(text: Column, wrapped: bool) -> Column:
     """The identifiers of a text's known sentences, in order."""
     known = F.create_map(*[F.lit(x) for pair in KNOWN.items() for x in pair])
     cut = F.split(lower_ascii(text), rf"{ENDS}|{BLANK}" if wrapped else rf"{ENDS}|\n")
-    named = F.transform(cut, lambda s: known[F.btrim(F.regexp_replace(s, "[^a-z0-9]+", " "))])
+    named = F.transform(cut, lambda s: known[F.btrim(F.regexp_replace(F.replace(s, F.lit("0+"), F.lit("0 or later")), "[^a-z0-9]+", " "))])
     return F.filter(named, lambda x: x.isNotNull())
 
 
@@ -131,10 +199,11 @@ def oracle() -> str:
 
     def ids(regex: str) -> str:
         cut = f"regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{regex}')"
-        named = f"list_transform({cut}, lambda s: (MAP {{{known}}})[trim(regexp_replace(s, '[^a-z0-9]+', ' ', 'g'))])"
+        named = f"list_transform({cut}, lambda s: (MAP {{{known}}})[trim(regexp_replace(replace(s, '0+', '0 or later'), '[^a-z0-9]+', ' ', 'g'))])"
         return f"list_filter({named}, lambda x: x IS NOT NULL)"
 
-    steps = [f"t0 AS (SELECT doc_id, {ids(f'[.!?;:]+{space}|[\\x0A]')} AS lines, {ids(f'[.!?;:]+{space}')} AS flowing FROM documents)"]
+    blank = r"\x0A[\x20\x09\x0D]*\x0A"
+    steps = [f"t0 AS (SELECT doc_id, {ids(f'[.!?;:]+{space}|[\\x0A]')} AS lines, {ids(f'[.!?;:]+{space}|{blank}')} AS flowing FROM documents)"]
     wrap = lambda c: f"array_to_string(list_transform({c}, lambda i: '<' || i || '>'), '')"
     steps.append(f"r0 AS (SELECT doc_id, greatest(len(lines), len(flowing)) AS n_known, {wrap('lines')} AS a, {wrap('flowing')} AS b, CAST([] AS VARCHAR[]) AS names FROM t0)")
     for i, (name, rule) in enumerate(RULES):
