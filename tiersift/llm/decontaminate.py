@@ -11,8 +11,8 @@ posting's words around, so no text is read again, and none is ever shuffled.
 Proximity: an item is near a document if the item's two rarest different terms stand at most a window apart in it, in
 either order. Their postings have ``with`` empty. Each posting is held against the last one of the other term only.
 
-The index is made over lower(), which also changes letters beyond A-Z; that proposes no less than the exact
-rule, since words are cut at the same places, and the verification follows the exact rule.
+The index is made over the words of the exact rule: lower() changes some letters by what stands beside them, so that a
+word of an item could differ from the same word of a document.
 
 Hit words are gathered as bits of cells of 64 words, and copies of a row (equal id and text) are combined before every
 shuffle. Rows are named by a 64-bit hash of id and text.
@@ -32,9 +32,8 @@ from .common import cut, lower_ascii
 from .joins import join_counted
 
 WINDOW, MIN_ITEMS = 8, 2
-#: What separates words, in lower case or as they are, and a word of the text as it is.
+#: Fixed value: what separates words, in lower case or as they are.
 SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-RAW_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: Rows and bytes of a table up to which a copy goes to every task; larger ones are shuffled.
 BROADCAST_ROWS, BROADCAST_BYTES = 2_000_000, 32 << 20
 
@@ -53,15 +52,14 @@ def small(df: DataFrame, *texts: str) -> DataFrame:
 
 
 def items_of(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """(iid, item_id, words, terms): the distinct items with words; terms are the index's spelling of words."""
-    text = F.col(text_col)
-    rows = benchmark.select(F.coalesce(F.col(id_col).cast("string"), F.lit("null")).alias("item_id"), words(lower_ascii(text)).alias("words"), words(F.lower(text)).alias("terms"))
+    """(iid, item_id, words): the distinct items with words."""
+    rows = benchmark.select(F.coalesce(F.col(id_col).cast("string"), F.lit("null")).alias("item_id"), words(lower_ascii(F.col(text_col))).alias("words"))
     return rows.where(F.size("words") > 0).distinct().withColumn("iid", F.xxhash64("item_id", "words"))
 
 
 def term_counts(docs: DataFrame, terms: DataFrame, text_col: str = "text") -> DataFrame:
     """(term, n) over the whole corpus for the terms given; those that never occur have n 0."""
-    found = docs.select(F.explode(words(F.lower(F.col(text_col)))).alias("term"))
+    found = docs.select(F.explode(words(lower_ascii(F.col(text_col)))).alias("term"))
     counted = found.join(small(terms, "term"), "term").groupBy("term").agg(F.count("*").alias("n"))
     return terms.join(counted, "term", "left").select("term", F.coalesce("n", F.lit(0)).alias("n"))
 
@@ -71,9 +69,9 @@ def anchors_of(items: DataFrame, counts: DataFrame, n: int = WINDOW) -> DataFram
 
     first and second are places in the item; with is the word after the term, or empty in a block of one word.
     """
-    size, half = F.size("terms"), (n + 1) // 2
+    size, half = F.size("words"), (n + 1) // 2
     length = F.least(size, F.lit(half))
-    blocks = items.select("iid", "terms", length.alias("length"), F.explode(F.sequence(F.lit(0), size - length, length)).alias("block"))
+    blocks = items.select("iid", F.col("words").alias("terms"), length.alias("length"), F.explode(F.sequence(F.lit(0), size - length, length)).alias("block"))
     places = blocks.select("iid", "block", "length", "terms", F.explode(F.sequence(F.col("block"), F.col("block") + F.col("length") - 1)).alias("place"))
     ranked = places.withColumn("term", F.get("terms", F.col("place"))).join(counts, "term").groupBy("iid", "block", "length", F.col("terms")).agg(F.sort_array(F.collect_list(F.struct("n", "place"))).alias("by"))
     # a pair starts at the rare term, or before it where that is the block's last
@@ -87,7 +85,7 @@ def anchors_of(items: DataFrame, counts: DataFrame, n: int = WINDOW) -> DataFram
 
 def rarest_of(items: DataFrame, counts: DataFrame) -> DataFrame:
     """(iid, term, other): the two rarest different terms of every item that has two."""
-    terms = items.select("iid", F.explode(F.array_distinct("terms")).alias("term")).join(counts, "term")
+    terms = items.select("iid", F.explode(F.array_distinct("words")).alias("term")).join(counts, "term")
     best = terms.groupBy("iid").agg(F.slice(F.sort_array(F.collect_list(F.struct("n", "term"))), 1, 2).alias("best")).where(F.size("best") == 2)
     return best.select("iid", F.get("best", F.lit(0))["term"].alias("term"), F.get("best", F.lit(1))["term"].alias("other"))
 
@@ -100,15 +98,18 @@ def positional_index(docs: DataFrame, wanted: DataFrame, n: int = WINDOW) -> Dat
     """
     pairs = wanted.where("with <> ''").select(F.col("term").alias("pair_term"), F.col("with").alias("pair_with"))
     alone = wanted.where("with = ''").select(F.col("term").alias("alone_term"))
-    every = docs.select("row_key", words(F.col("text")).alias("ws"))
-    every = every.select("row_key", "ws", F.posexplode("ws").alias("pos", "word")).withColumn("term", F.lower("word"))
-    every = every.withColumn("with", F.lower(F.coalesce(F.get("ws", F.col("pos") + 1), F.lit(""))))
+    # generated code may make a plain column again for each word, so key and words are made as one
+    once = F.array(F.struct("row_key", words(lower_ascii(F.col("text"))).alias("ws")))
+    every = docs.select(F.explode(once).alias("doc")).select("doc.row_key", "doc.ws")
+    every = every.select("row_key", "ws", F.posexplode("ws").alias("pos", "term"))
+    every = every.withColumn("with", F.coalesce(F.get("ws", F.col("pos") + 1), F.lit("")))
     found = every.join(small(pairs, "pair_term", "pair_with"), (F.col("term") == F.col("pair_term")) & (F.col("with") == F.col("pair_with")), "left")
     found = found.join(small(alone, "alone_term"), F.col("term") == F.col("alone_term"), "left").where("pair_term is not null or alone_term is not null")
     base = F.greatest(F.col("pos") - n, F.lit(0))
     # the words around are cut here, so that what follows carries these and not a document's words
+    around = F.slice("ws", base + 1, F.col("pos") - base + n + 1)
     pair, single = F.when(F.col("pair_term").isNotNull(), F.col("with")), F.when(F.col("alone_term").isNotNull(), F.lit(""))
-    found = found.select("term", "row_key", "pos", base.alias("base"), F.slice("ws", base + 1, F.col("pos") - base + n + 1).alias("around"), F.array(pair, single).alias("kinds"))
+    found = found.select("term", "row_key", "pos", base.alias("base"), around.alias("around"), F.array(pair, single).alias("kinds"))
     kept = found.select("term", "row_key", "pos", "base", "around", F.explode("kinds").alias("with")).where("with is not null")
     return cut(kept.select("term", "with", "row_key", "pos", "base", "around").sortWithinPartitions("term"), "positional-index")
 
@@ -123,7 +124,6 @@ def phrases(index: DataFrame, items: DataFrame, anchors: DataFrame, n: int = WIN
     other = index.join(small(two, "term", "with"), ["term", "with"]).select("row_key", "iid", (F.col("pos") - F.col("place")).alias("align"), "place").distinct()
     stand = rare.join(other, key, "left_semi")
     stand = stand.join(small(items.select("iid", "item_id", F.array_join("words", " ").alias("joined")), "item_id", "joined"), "iid").withColumn("words", F.split("joined", " "))
-    stand = stand.withColumn("around", F.transform("around", lower_ascii))
     size = F.size("words")
     length = F.least(size, F.lit(n))
     first = F.greatest(F.col("block") + F.col("block_length") - length, F.lit(0), -F.col("align"))
@@ -147,7 +147,7 @@ def proximity(index: DataFrame, pairs: DataFrame, within: int) -> DataFrame:
 def judged(rows: DataFrame, benchmark: DataFrame, n: int, min_items: int) -> DataFrame:
     """(row_key, n_hit, names, n_near) of the rows (row_key, text) in which something of an item occurs, one row a key."""
     items = cut(items_of(benchmark), "items")
-    terms = cut(items.select(F.explode("terms").alias("term")).distinct(), "item-terms")
+    terms = cut(items.select(F.explode("words").alias("term")).distinct(), "item-terms")
     counts = cut(term_counts(rows, terms), "item-term-counts")
     anchors = cut(anchors_of(items, counts, n), "item-anchors")
     rarest = cut(rarest_of(items, counts), "item-rarest")
@@ -177,7 +177,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, min_it
     """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated, n_near) for every row of docs; n_near: items near it."""
     text = F.col(text_col)
     found = judged(docs.select(row_key(id_col, text_col).alias("row_key"), text.alias("text")), benchmark, n, min_items)
-    rows = docs.select(row_key(id_col, text_col).alias("row_key"), F.col(id_col).alias("doc_id"), F.coalesce(F.regexp_count(text, F.lit(RAW_WORD)), F.lit(0)).cast("long").alias("n_words"))
+    rows = docs.select(row_key(id_col, text_col).alias("row_key"), F.col(id_col).alias("doc_id"), F.coalesce(F.array_size(words(text)), F.lit(0)).cast("long").alias("n_words"))
     rows = cut(rows, "contamination-rows")
     repeats = rows.groupBy("row_key").agg(F.count("*").alias("n"))
     out = join_counted(rows, cut(found.join(repeats, "row_key"), "contamination-counted"), "row_key", rows.count())
