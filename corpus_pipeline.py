@@ -27,7 +27,10 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates (5-word shingles, Jaccard 0.8 or more) stays, that with the least id."""
+    """One document of each group of near duplicates (5-word shingles, Jaccard 0.8 or more) stays, that with the least id.
+
+    They are found by SimHash and its pivot distance table and verified exactly; an exact join adds those beyond its bits.
+    """
     return simhash.one_of_each(docs, find=near_copies.near_copies)
 
 

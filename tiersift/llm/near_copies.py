@@ -6,8 +6,14 @@ Shingles that occur in one row only link nothing, so few rows are left. Pairs th
 their sizes forbid the similarity, or if the parities of their shingles in 64 parts differ in more bits than
 the sets may in shingles; what survives is verified by the sets themselves.
 
-Large groups of copies give no square of pairs: each row of a shingle is first held against one row of it, and
-then only rows that are in different components by then are paired, in blocks, as ``simhash.links`` does.
+The first pairs come by SimHash: the fingerprints of the sets are linked within three bits by ``simhash.links``, through
+its stored pivot distance table. Similar sets may differ in more bits, so the shingles of the prefixes propose the
+rest; the sets themselves verify what either proposes.
+
+Large groups of copies give no square of pairs: each row of a fingerprint or a shingle is first held against one row
+of it, and then only rows that are in different components by then are paired, in blocks, as ``simhash.links`` does.
+
+A shingle's hash is made of its words' hashes, for all shingles of a text at once.
 
 How often shingles occur is counted by the upper half of their hashes, which may only make one look more frequent:
 the order stays the same for all rows, so that no pair is lost by it.
@@ -29,20 +35,52 @@ from xxhash import xxh64_intdigest
 from . import hash_arrays
 from .common import cut, map_rows, shared_dir, tidy
 from .joins import join_counted
-from .simhash import SEED, components, in_blocks, joined_components, words_of
+from .simhash import SEED, components, few, in_blocks, joined_components
+from .simhash import links as simhash_links
 
 SHINGLE, BLOCK = 5, 4096
 #: Shingles that a task holds before it hands them on; shingles of a part of the counts; the most parts.
 HELD, PART, MOST_PARTS = 1 << 20, 1 << 20, 1 << 15
+#: Words whose hashes a worker keeps; an odd factor that mixes them.
+WORDS, MIX = 200_000, np.uint64(0x9E3779B97F4A7C15)
+
+
+class WordHashes(dict):
+    """word -> its hash; cleared when full."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= WORDS:
+            self.clear()
+        self[word] = h = xxh64_intdigest(word, SEED)
+        return h
+
+
+_hash_of = WordHashes().__getitem__
 
 
 def shingle_set(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
     """The distinct hashes of a text's shingles, ascending; of fewer words, one shingle of what there is."""
-    words = words_of(text)
+    words = (text or "").encode().lower().split()  # of bytes: A-Z only, and ASCII white space only
     if not words:
         return np.empty(0, np.uint64)
-    parts = [words[i:] for i in range(shingle)] if len(words) >= shingle else [[w] for w in words]
-    return np.unique(np.array([xxh64_intdigest(" ".join(s), SEED) for s in zip(*parts)], np.uint64))
+    h = np.fromiter(map(_hash_of, words), np.uint64, len(words))
+    size = min(shingle, len(h))
+    mixed = np.full(len(h) - size + 1, size, np.uint64)
+    for i in range(size):
+        mixed ^= h[i : i + len(mixed)]
+        mixed *= MIX
+        mixed ^= mixed >> np.uint64(32)
+    mixed.sort()
+    return mixed[np.concatenate([[True], mixed[1:] != mixed[:-1]])]
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The SimHash fingerprint of a set: a bit is 1 if set in over half the hashes."""
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), HELD >> 5):
+        some = hashes[at : at + (HELD >> 5)].astype(">u8")
+        ones += np.unpackbits(some.view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * ones > len(hashes)).tobytes(), "big")
 
 
 def digests(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -104,7 +142,10 @@ def repeated(texts: DataFrame, total: int) -> list[tuple[str, str, int]]:
 
 
 def prefixes(texts: DataFrame, shards: list[tuple[str, str, int]]) -> DataFrame:
-    """(fp, size, parity, shingles, first) of every set that may have a similar one; first are the repeated shingles of its prefix."""
+    """(fp, size, parity, sim, shingles, first) of every set that may have a similar one.
+
+    sim is its SimHash fingerprint; first are the repeated shingles of its prefix.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, seen = hash_arrays.opened(shards), set()
@@ -123,12 +164,12 @@ def prefixes(texts: DataFrame, shards: list[tuple[str, str, int]]) -> DataFrame:
                 seen.add(name)
                 first = s[again[np.lexsort((s[again], n[again]))[:room]]]
                 parity = np.bitwise_xor.reduce(np.uint64(1) << (s >> np.uint64(58)))
-                rows.append((name, len(s), int(parity), s.tobytes(), first.view(np.int64)))
-            fp, size, parity, shingles, first = zip(*rows) if rows else [()] * 5
+                rows.append((name, len(s), int(parity), majority(s), s.tobytes(), first.view(np.int64)))
+            fp, size, parity, sim, shingles, first = zip(*rows) if rows else [()] * 6
             signed = lambda x: pa.array(np.array(x, np.uint64).view(np.int64), pa.int64())
-            yield pa.RecordBatch.from_arrays([signed(fp), pa.array(size, pa.int64()), signed(parity), pa.array(shingles, pa.binary()), pa.array(first, pa.list_(pa.int64()))], ["fp", "size", "parity", "shingles", "first"])
+            yield pa.RecordBatch.from_arrays([signed(fp), pa.array(size, pa.int64()), signed(parity), signed(sim), pa.array(shingles, pa.binary()), pa.array(first, pa.list_(pa.int64()))], ["fp", "size", "parity", "sim", "shingles", "first"])
 
-    return map_rows(texts, run, "fp long, size long, parity long, shingles binary, first array<long>").dropDuplicates(["fp"])
+    return map_rows(texts, run, "fp long, size long, parity long, sim long, shingles binary, first array<long>").dropDuplicates(["fp"])
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -148,6 +189,16 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return cut(map_rows(joined, run, "a long, b long"), "copies-verified")
 
 
+def fingerprint_pairs(sets: DataFrame) -> DataFrame:
+    """(a, b) of fp: sets whose SimHash fingerprints are linked, by one set of each fingerprint. sets: as of prefixes(), written."""
+    heads = cut(sets.groupBy("sim").agg(F.min("fp").alias("head"), F.count("*").alias("n")), "copies-fingerprints")
+    found = cut(simhash_links(heads.select(F.col("sim").alias("fp"))), "copies-fingerprint-links")
+    side = lambda c: few(heads.select(F.col("sim").alias(c), F.col("head").alias(f"{c}_head")))
+    apart = found.join(side("a"), "a").join(side("b"), "b").select(F.col("a_head").alias("a"), F.col("b_head").alias("b"))
+    alike = join_counted(sets.select("sim", "fp"), heads, "sim", sets.count(), "inner").where("fp <> head")
+    return apart.union(alike.select(F.col("head").alias("a"), F.col("fp").alias("b")))
+
+
 def links(sets: DataFrame, block: int = BLOCK) -> DataFrame:
     """(a, b) of fp: links that span every component of similar sets. sets: as of prefixes(), written."""
     rows = cut(sets.select("fp", "size", "parity", F.explode("first").alias("key")), "copies-keys")
@@ -160,7 +211,8 @@ def links(sets: DataFrame, block: int = BLOCK) -> DataFrame:
         return near & (5 * F.least(size, "size") >= 4 * F.greatest(size, "size"))
 
     star = sized.where((F.col("fp") != F.col("head.fp")) & may(F.col("head.size"), F.col("head.parity")))
-    first = verified(star.select(F.col("head.fp").alias("a"), F.col("fp").alias("b")).distinct(), sets)
+    proposed = fingerprint_pairs(sets).union(star.select(F.col("head.fp").alias("a"), F.col("fp").alias("b")))
+    first = verified(proposed.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), sets)
     found = cut(components(first).withColumnRenamed("node", "fp"), "copies-first")
     rest = sized.select("key", "fp", "size", "parity", F.col("rows").alias("n")).join(found, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     rest = cut(rest, "copies-rest")
