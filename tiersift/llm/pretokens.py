@@ -16,13 +16,18 @@ LAST_SPACE = "x "
 _double = re.compile(r"\s\s")
 
 
+def splits_at_each_space(text: str) -> bool:
+    """Whether a unit starts at each space of the text and nowhere else."""
+    return not (text[-1:].isspace() or _double.search(text))
+
+
 def byte_units(text: str, find: Callable[[str], list[str]]) -> list[str]:
     """Units whose encodings, one after another, are the text's. find gives the pre-tokens of the pattern.
 
     Where no two white space characters meet, a space always starts the pre-token of what follows it, so text
     splits at spaces. A text with such runs, or one that ends in a space, goes through the pattern.
     """
-    if text[-1:].isspace() or _double.search(text):
+    if not splits_at_each_space(text):
         return find(text)
     head, *rest = text.split(" ")
     return [head, *[" " + w for w in rest]] if head else [" " + w for w in rest]

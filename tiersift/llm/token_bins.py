@@ -30,20 +30,22 @@ from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import cut, limit_batches, shared_dir
+from .pretokens import splits_at_each_space
 
 MAGIC = b"TSBITS1\0"
 HEAD = struct.Struct("<8sIIQQQ")
 BLOCK_IDS = 1 << 16
 #: A shard is closed when it has so many ids: bounds what a task holds.
 SHARD_IDS = 1 << 22
-#: Units that are encoded as one text.
-JOINED = 1000
+#: Units that are encoded as one text; bytes of text whose words are numbered together.
+JOINED, HELD = 1000, 16 << 20
 
 
 def width(vocab_size: int) -> int:
@@ -147,7 +149,7 @@ class Shard:
 
 
 class Encoder:
-    """The tokenizers library with each distinct word encoded once a worker; whole texts where words do not add up."""
+    """The tokenizers library with each distinct word encoded once a call; whole texts where words do not add up."""
 
     def __init__(self, path: str):
         # the cluster's tasks fill the cores: threads of the library's own only get in each other's way
@@ -193,10 +195,56 @@ class Encoder:
         return [made[u] for u in units]
 
     def encode(self, texts: list[str], end: bytes) -> list[np.ndarray]:
-        whole = [not t or not self.plain or any(s in t for s in self.special) for t in texts]
-        units = [[] if w else self.units(t) for t, w in zip(texts, whole)]
-        found = self.cache.find(units)
-        return [np.frombuffer((np.array(self.model.encode(t, add_special_tokens=False).ids, "<u4").tobytes() if w else b"".join(f)) + end, "<u4") for t, f, w in zip(texts, found, whole)]
+        """Each text's ids and the end's."""
+        out, plain, units = [None] * len(texts), [], []
+        for k, t in enumerate(texts):
+            if not t or not self.plain or any(s in t for s in self.special):
+                out[k] = np.frombuffer(np.array(self.model.encode(t, add_special_tokens=False).ids, "<u4").tobytes() + end, "<u4")
+            elif splits_at_each_space(t):
+                plain.append(k)
+            else:
+                units.append((k, self.units(t)))
+        for (k, _), found in zip(units, self.cache.find([u for _, u in units])):
+            out[k] = np.frombuffer(b"".join(found) + end, "<u4")
+        if plain:
+            for k, ids in zip(plain, self._encode_plain([texts[k] for k in plain])):
+                out[k] = np.concatenate([ids, np.frombuffer(end, "<u4")])
+        return out
+
+    def _encode_plain(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of texts that split at each space: their words are numbered outside Python, and each is encoded once."""
+        parts = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
+        coded, stops = pc.dictionary_encode(parts.values), np.asarray(parts.offsets, np.int64)
+        words, codes = coded.dictionary.to_pylist(), np.asarray(coded.indices, np.int64).copy()
+        ids, size = self._encode_words(words, np.asarray(pc.binary_length(coded.dictionary), np.int64))
+        # what a text begins with has no space before it
+        first = [t.split(" ", 1)[0] for t in texts]
+        heads = {h: len(words) + i for i, h in enumerate(dict.fromkeys(first))}
+        data = [f if h else b"" for h, f in zip(heads, self.cache.find([[h or " " for h in heads]])[0])]
+        codes[stops[:-1]] = [heads[h] for h in first]
+        size = np.concatenate([size, np.fromiter(map(len, data), np.int64, len(data)) >> 2])
+        ids = np.concatenate([ids, np.frombuffer(b"".join(data), "<u4")])
+        n = size[codes]
+        ends = np.cumsum(n)
+        at = np.repeat((np.cumsum(size) - size)[codes] - ends + n, n)
+        at += np.arange(len(at))
+        return np.split(ids[at], ends[stops[1:-1] - 1])
+
+    def _encode_words(self, words: list[str], n_bytes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of words that each have a space before them, and each word's number of ids; JOINED words are one text."""
+        found, sizes = [np.empty(0, "<u4")], [np.empty(0, np.int64)]
+        for at in range(0, len(words), JOINED):
+            some = words[at : at + JOINED]
+            ids = np.array(self._ids([" " + " ".join(some)])[0], "<u4")
+            stops, ends = np.cumsum(self.n_bytes[ids]), np.cumsum(n_bytes[at : at + JOINED] + 1)
+            cuts = np.searchsorted(stops, ends)
+            if len(ids) and np.array_equal(stops[np.minimum(cuts, len(ids) - 1)], ends):
+                found.append(ids), sizes.append(np.diff(cuts, prepend=-1))
+            else:  # ids that reach over words
+                each = self._ids([" " + w if w else "" for w in some])
+                found += [np.array(x, "<u4") for x in each]
+                sizes.append(np.array([len(x) for x in each], np.int64))
+        return np.concatenate(found), np.concatenate(sizes)
 
 
 _encoders: dict[str, Encoder] = {}
@@ -208,6 +256,20 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
+def together(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[str]]]:
+    """(ids, texts) of batches put together up to HELD bytes and a batch: many words are the same, and each is encoded once."""
+    ids, texts, held = [], [], 0
+    for b in batches:
+        ids += b.column(0).to_pylist()
+        texts += [t or "" for t in b.column(1).to_pylist()]
+        held += b.nbytes
+        if held >= HELD:
+            yield ids, texts
+            ids, texts, held = [], [], 0
+    if ids:
+        yield ids, texts
+
+
 def write(docs: DataFrame, path: str, vocab_size: int, end_id: int, folder: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Writes docs' ids, in ascending order of id, to shards; returns the manifest, one row a shard.
 
@@ -233,8 +295,8 @@ def write(docs: DataFrame, path: str, vocab_size: int, end_id: int, folder: str
             name = f"{folder}/part-{task.partitionId():06d}-{len(made):05d}-{attempt}.bits"
             made.append((task.partitionId(), len(made), name, len(ids), write_shard(name, ids, docs_ids, bits)))
 
-        for b in batches:
-            for d, x in zip(b.column(0).to_pylist(), coder.encode([t or "" for t in b.column(1).to_pylist()], end)):
+        for some, texts in together(batches):
+            for d, x in zip(some, coder.encode(texts, end)):
                 ids.append(d)
                 docs_ids.append(x)
                 held += len(x)
