@@ -41,21 +41,8 @@ from .simhash import links as simhash_links
 SHINGLE, BLOCK = 5, 4096
 #: Shingles that a task holds before it hands them on; shingles of a part of the counts; the most parts.
 HELD, PART, MOST_PARTS = 1 << 20, 1 << 20, 1 << 15
-#: Words whose hashes a worker keeps; an odd factor that mixes them.
-WORDS, MIX = 200_000, np.uint64(0x9E3779B97F4A7C15)
-
-
-class WordHashes(dict):
-    """word -> its hash; cleared when full."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= WORDS:
-            self.clear()
-        self[word] = h = xxh64_intdigest(word, SEED)
-        return h
-
-
-_hash_of = WordHashes().__getitem__
+#: An odd factor that mixes the hashes of words.
+MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 def shingle_set(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
@@ -63,7 +50,7 @@ def shingle_set(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
     words = (text or "").encode().lower().split()  # of bytes: A-Z only, and ASCII white space only
     if not words:
         return np.empty(0, np.uint64)
-    h = np.fromiter(map(_hash_of, words), np.uint64, len(words))
+    h = np.fromiter(map(xxh64_intdigest, words), np.uint64, len(words))
     size = min(shingle, len(h))
     mixed = np.full(len(h) - size + 1, size, np.uint64)
     for i in range(size):
