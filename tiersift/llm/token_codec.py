@@ -13,13 +13,15 @@ empty result; other columns of the input are not read.
 
 from __future__ import annotations
 
+import codecs
 import hashlib
 import heapq
 import json
 import re
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import chain
+from sys import getsizeof
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +30,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import map_rows
-from .pretokens import BYTE_PATTERN, UnitCache, byte_units
+from .pretokens import BYTE_PATTERN, byte_units
+
+#: Characters that are cut into units at a time; bytes of pre-tokens that are merged at a time; ids that are digested at a time.
+PIECE, MERGED, DIGESTED = 1 << 20, 1 << 18, 1 << 16
+#: Bytes of known units.
+HELD = 24 << 20
 
 
 def byte_letters() -> dict[int, str]:
@@ -110,6 +117,51 @@ class PairIndex:
         return [[s for s in symbols[start:end] if s >= 0] for start, end in zip([0, *ends], ends)]
 
 
+class KnownUnits:
+    """The ids of units that came before, in arrays: hashes in ascending order, where each unit's ids begin and end, and ids.
+
+    A unit takes some 30 bytes beside the 170 and more of a string, its ids and a dictionary's entry. What a hash finds is
+    held against the unit by its spelling. Beyond HELD bytes the largest part, the oldest, goes: an entry only saves work.
+    """
+
+    def __init__(self, encode: Callable[[list[str]], list[bytes]], spell: Callable[[list[int]], bytes], held: int = HELD):
+        self.encode, self.spell, self.held = encode, spell, held
+        self.parts: list[tuple[np.ndarray, ...]] = []
+
+    def learn(self, units: set[str]) -> dict[str, bytes]:
+        """The ids of all units, as little-endian 32-bit integers."""
+        names, made, spell = list(units), {}, self.spell
+        h = np.fromiter(map(hash, names), np.int64, len(names))
+        order = np.argsort(h)
+        h = h[order]
+        for hashes, begin, end, ids in self.parts:
+            at = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
+            hit = np.flatnonzero(hashes[at] == h)
+            at, view = at[hit], memoryview(ids)
+            for i, x, y in zip(order[hit].tolist(), begin[at].tolist(), end[at].tolist()):
+                some = view[x:y]
+                if spell(some.tolist()) == names[i].encode():
+                    made[names[i]] = some.tobytes()
+        if rest := sorted(units.difference(made)):  # words that begin alike are merged faster side by side
+            packed = self.encode(rest)
+            made.update(zip(rest, packed))
+            end = np.cumsum([len(p) >> 2 for p in packed])
+            begin = np.concatenate([[0], end[:-1]])
+            self._keep(np.fromiter(map(hash, rest), np.int64, len(rest)), begin, end, np.frombuffer(b"".join(packed), np.uint32))
+        return made
+
+    def _keep(self, hashes: np.ndarray, begin: np.ndarray, end: np.ndarray, ids: np.ndarray) -> None:
+        """Adds a part; it takes up the parts before it that are not much larger, so that parts are few."""
+        while self.parts and len(self.parts[-1][0]) <= 2 * len(hashes):
+            other = self.parts.pop()
+            begin, end = (np.concatenate([x, y + len(other[3])]) for x, y in ((other[1], begin), (other[2], end)))
+            hashes, ids = np.concatenate([other[0], hashes]), np.concatenate([other[3], ids])
+        order = np.argsort(hashes)
+        self.parts.append((hashes[order], begin[order].astype(np.uint32), end[order].astype(np.uint32), ids))
+        while sum(x.nbytes for part in self.parts for x in part) > self.held:
+            self.parts.pop(0)
+
+
 class Codec:
     """A byte-level BPE vocabulary from a tokenizers file."""
 
@@ -125,32 +177,74 @@ class Codec:
         self.start = [vocab[letters[b]] for b in range(256)]
         back = {v: k for k, v in letters.items()}
         self.bytes = {i: bytes(back[ch] for ch in t) for t, i in vocab.items()} | {t["id"]: t["content"].encode() for t in parts["added_tokens"]}
+        self.decimal = [str(i) for i in range(max(self.bytes) + 1)]
         self.special = {t["content"]: t["id"] for t in parts["added_tokens"]}
         if any(t["lstrip"] or t["rstrip"] or t["single_word"] for t in parts["added_tokens"]):
             raise ValueError("special strings that take in what is beside them are not handled")
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.find = regex.compile(BYTE_PATTERN).findall
-        self.cache = UnitCache(self._encode_units, 800_000)
+        # a pre-token starts at a space between letters or digits, whatever stands before and after
+        self.between = regex.compile(r"(?<=[\p{L}\p{N}]) (?=[\p{L}\p{N}])").search
+        self.known = KnownUnits(self._encode_units, lambda ids: b"".join(map(self.bytes.__getitem__, ids)))
 
     def _encode_units(self, units: list[str]) -> list[bytes]:
-        """Each unit's ids, as little-endian 32-bit integers."""
+        """Each unit's ids, as little-endian 32-bit integers. Pre-tokens are merged MERGED bytes at a time."""
         split = [self.find(u) for u in units]
-        words = list(dict.fromkeys(chain.from_iterable(split)))
-        start = self.start
-        merged = self.index.merge([[start[b] for b in w.encode()] for w in words])
-        made = {w: struct.pack(f"<{len(ids)}I", *ids) for w, ids in zip(words, merged)}
+        start, made, waiting, size = self.start, {}, {}, 0
+
+        def merge() -> None:
+            made.update((w, struct.pack(f"<{len(ids)}I", *ids)) for w, ids in zip(waiting, self.index.merge(list(waiting.values()))))
+            waiting.clear()
+
+        for w in dict.fromkeys(chain.from_iterable(split)):
+            waiting[w] = [start[b] for b in w.encode()]
+            size += len(waiting[w])
+            if size >= MERGED:
+                merge()
+                size = 0
+        merge()
         return [made[s[0]] if len(s) == 1 else b"".join([made[w] for w in s]) for s in split]
 
+    def _pieces(self, text: str) -> Iterator[str]:
+        """The text in pieces of about PIECE characters that are encoded each alone; special strings are pieces."""
+        for part in self.cut.split(text) if self.cut and any(s in text for s in self.special) else [text]:
+            at = 0
+            while part not in self.special and len(part) - at > PIECE and (space := self.between(part, at + PIECE)):
+                yield part[at : space.start()]
+                at = space.start()
+            yield part[at:] if at else part
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Each text's ids, in arrays of 32-bit unsigned integers."""
-        parts = [self.cut.split(t) if self.cut and any(s in t for s in self.special) else [t] for t in texts]
-        units = [[byte_units(p, self.find) if p and p not in self.special else [] for p in ps] for ps in parts]
-        self.cache.learn([u for us in units for u in us])
-        get, out = self.cache.__getitem__, []
-        for ps, us in zip(parts, units):
-            made = [struct.pack("<I", self.special[p]) if p in self.special else b"".join(map(get, u)) for p, u in zip(ps, us)]
-            out.append(np.frombuffer(made[0] if len(made) == 1 else b"".join(made), "<u4"))
-        return out
+        made: list[list[bytes]] = [[] for _ in texts]
+        waiting: list[tuple[int, list[str] | bytes]] = []
+        size = 0
+
+        def learn() -> None:
+            get = self.known.learn(set().union(*[u for _, u in waiting if isinstance(u, list)])).__getitem__
+            for i, units in waiting:
+                made[i].append(b"".join(map(get, units)) if isinstance(units, list) else units)
+            waiting.clear()
+
+        for i, text in enumerate(texts):
+            for piece in self._pieces(text):
+                waiting.append((i, struct.pack("<I", self.special[piece]) if piece in self.special else byte_units(piece, self.find) if piece else []))
+                size += len(piece)
+                if size >= PIECE:
+                    learn()
+                    size = 0
+        learn()
+        return [np.frombuffer(m[0] if len(m) == 1 else b"".join(m), "<u4") for m in made]
+
+    def digests(self, ids: np.ndarray) -> tuple[str, str]:
+        """SHA-256 of the decimal ids, joined by commas, and of their decoded text; DIGESTED ids at a time."""
+        joined, decoded, utf8 = hashlib.sha256(), hashlib.sha256(), codecs.getincrementaldecoder("utf-8")("replace")
+        for at in range(0, len(ids), DIGESTED):
+            some = ids[at : at + DIGESTED].tolist()
+            joined.update((("," if at else "") + ",".join(map(self.decimal.__getitem__, some))).encode())
+            decoded.update(utf8.decode(b"".join(map(self.bytes.__getitem__, some))).encode())
+        decoded.update(utf8.decode(b"", True).encode())
+        return joined.hexdigest(), decoded.hexdigest()
 
     def decode(self, ids: np.ndarray | list[int]) -> str:
         """The text of ids; bytes that are not UTF-8 become U+FFFD, as the library does."""
@@ -195,16 +289,11 @@ def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
-        words = [str(i) for i in range(max(c.bytes) + 1)]
         for b in batches:
             all_ids = c.encode([t or "" for t in b.column(1).to_pylist()])
+            joined, decoded = zip(*map(c.digests, all_ids)) if all_ids else ((), ())
             yield pa.RecordBatch.from_arrays(
-                [
-                    b.column(0),
-                    pa.array([len(i) for i in all_ids], pa.int64()),
-                    pa.array([hashlib.sha256(",".join(map(words.__getitem__, ids.tolist())).encode()).hexdigest() for ids in all_ids], pa.string()),
-                    pa.array([hashlib.sha256(c.decode(ids).encode()).hexdigest() for ids in all_ids], pa.string()),
-                ],
+                [b.column(0), pa.array(map(len, all_ids), pa.int64()), pa.array(joined, pa.string()), pa.array(decoded, pa.string())],
                 ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
             )
 
