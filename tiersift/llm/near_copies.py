@@ -12,6 +12,10 @@ rest; the sets themselves verify what either proposes.
 
 Large groups of copies give no square of pairs: each row of a fingerprint or a shingle is first held against one row
 of it, and then only rows that are in different components by then are paired, in blocks, as ``simhash.links`` does.
+Texts that are much alike but not similar stay apart, so the rows of a shingle meet in their square: where they meet,
+pairs are held against each other by sketches, the parities of their shingles in some 2 parts a shingle, so few pairs
+leave the task. Where more pairs than sets do, each set's nearest pair is verified before all others, for ROUNDS
+rounds at most, and only pairs of different components stay.
 
 A shingle's hash is made of its words' hashes, for all shingles of a text at once.
 
@@ -38,9 +42,11 @@ from .joins import join_counted
 from .simhash import SEED, components, few, in_blocks, joined_components
 from .simhash import links as simhash_links
 
-SHINGLE, BLOCK = 5, 4096
+SHINGLE, BLOCK, ROUNDS = 5, 4096, 3
 #: Shingles that a task holds before it hands them on; shingles of a part of the counts; the most parts.
 HELD, PART, MOST_PARTS = 1 << 20, 1 << 20, 1 << 15
+#: Bits of a sketch, at most; rows, and pairs, that a task compares at a time.
+MOST_BITS, ROWS, PAIRS = 1 << 13, 1 << 15, 1 << 15
 #: An odd factor that mixes the hashes of words.
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -70,6 +76,16 @@ def majority(hashes: np.ndarray) -> int:
     return int.from_bytes(np.packbits(2 * ones > len(hashes)).tobytes(), "big")
 
 
+def sketch(hashes: np.ndarray) -> bytes:
+    """The parities of a set's hashes in parts, a power of two of them, 1.5 a hash at least up to MOST_BITS.
+
+    Sets that differ in d hashes differ in d bits at most, also where a wider sketch is folded to the width of the other.
+    """
+    bits = min(MOST_BITS, 64 << (max(0, 3 * len(hashes) // 2 - 1) >> 6).bit_length())
+    odd = np.bincount((hashes & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
 def digests(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(doc_id, fp, size) for every row; fp is the set's digest as a signed integer."""
 
@@ -129,34 +145,43 @@ def repeated(texts: DataFrame, total: int) -> list[tuple[str, str, int]]:
 
 
 def prefixes(texts: DataFrame, shards: list[tuple[str, str, int]]) -> DataFrame:
-    """(fp, size, parity, sim, shingles, first) of every set that may have a similar one.
+    """(fp, size, parity, sim, shingles, first, sketch) of every set that may have a similar one.
 
-    sim is its SimHash fingerprint; first are the repeated shingles of its prefix.
+    sim is its SimHash fingerprint; first are the repeated shingles of its prefix. The counts of many sets are looked
+    up at once, as each look goes through all shards.
     """
 
+    def candidates(sets: list[np.ndarray], counts: hash_arrays.Arrays, seen: set[int]) -> pa.RecordBatch:
+        rows = []
+        found = counts.find(np.concatenate([np.empty(0, np.uint64), *sets]) >> np.uint64(32))
+        for s, n in zip(sets, np.split(found, np.cumsum(list(map(len, sets)))[:-1])):
+            again = np.flatnonzero(~np.isnan(n))
+            room = len(s) - (4 * len(s) + 4) // 5 + 1 - (len(s) - len(again))
+            if room <= 0 or (name := xxh64_intdigest(s.tobytes(), SEED)) in seen:
+                continue
+            seen.add(name)
+            first = s[again[np.lexsort((s[again], n[again]))[:room]]]
+            parity = np.bitwise_xor.reduce(np.uint64(1) << (s >> np.uint64(58)))
+            rows.append((name, len(s), int(parity), majority(s), s.tobytes(), first.view(np.int64), sketch(s)))
+        fp, size, parity, sim, shingles, first, sketches = zip(*rows) if rows else [()] * 7
+        signed = lambda x: pa.array(np.array(x, np.uint64).view(np.int64), pa.int64())
+        return pa.RecordBatch.from_arrays([signed(fp), pa.array(size, pa.int64()), signed(parity), signed(sim), pa.array(shingles, pa.binary()), pa.array(first, pa.list_(pa.int64())), pa.array(sketches, pa.binary())], ["fp", "size", "parity", "sim", "shingles", "first", "sketch"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, seen = hash_arrays.opened(shards), set()
+        counts, seen, held, n = hash_arrays.opened(shards), set(), [], 0
         for b in batches:
-            rows = []
             for t in b.column(0).to_pylist():
                 s = shingle_set(t)
-                name = xxh64_intdigest(s.tobytes(), SEED)
-                if not len(s) or name in seen:
-                    continue
-                n = counts.find(s >> np.uint64(32))
-                again = np.flatnonzero(~np.isnan(n))
-                room = len(s) - (4 * len(s) + 4) // 5 + 1 - (len(s) - len(again))
-                if room <= 0:
-                    continue
-                seen.add(name)
-                first = s[again[np.lexsort((s[again], n[again]))[:room]]]
-                parity = np.bitwise_xor.reduce(np.uint64(1) << (s >> np.uint64(58)))
-                rows.append((name, len(s), int(parity), majority(s), s.tobytes(), first.view(np.int64)))
-            fp, size, parity, sim, shingles, first = zip(*rows) if rows else [()] * 6
-            signed = lambda x: pa.array(np.array(x, np.uint64).view(np.int64), pa.int64())
-            yield pa.RecordBatch.from_arrays([signed(fp), pa.array(size, pa.int64()), signed(parity), signed(sim), pa.array(shingles, pa.binary()), pa.array(first, pa.list_(pa.int64()))], ["fp", "size", "parity", "sim", "shingles", "first"])
-
-    return map_rows(texts, run, "fp long, size long, parity long, sim long, shingles binary, first array<long>").dropDuplicates(["fp"])
+                if len(s):
+                    held.append(s)
+                    n += len(s)
+                if n >= HELD >> 1:
+                    yield candidates(held, counts, seen)
+                    held, n = [], 0
+        if held:
+            yield candidates(held, counts, seen)
+
+    return map_rows(texts, run, "fp long, size long, parity long, sim long, shingles binary, first array<long>, sketch binary").dropDuplicates(["fp"])
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -176,6 +201,86 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return cut(map_rows(joined, run, "a long, b long"), "copies-verified")
 
 
+def bits_apart(i: np.ndarray, j: np.ndarray, words: np.ndarray, at: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Bits in which the sketches of rows i and j differ, at the width of the smaller. A row has n words from at on."""
+
+    def folded(rows: np.ndarray, width: int) -> np.ndarray:
+        out = words[at[rows, None] + np.arange(width)]
+        for k in range(1, int(n[rows].max()) // width):
+            more = np.flatnonzero(n[rows] > k * width)
+            out[more] ^= words[at[rows[more], None] + np.arange(k * width, (k + 1) * width)]
+        return out
+
+    out, width = np.empty(len(i), np.int64), np.minimum(n[i], n[j])
+    for w in np.unique(width).tolist():
+        some = np.flatnonzero(width == w)
+        out[some] = np.bitwise_count(folded(i[some], w) ^ folded(j[some], w)).sum(1, dtype=np.int64)
+    return out
+
+
+def may_be_similar(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+    """(a, b, far) of fp: pairs of whole groups (key, x, y) whose sizes and sketches allow them, of different roots. rows: by key, x, y, own, size."""
+    key, x, y, own, size, root, fp = (rows[c].to_numpy().astype(np.int64) for c in ("key", "x", "y", "own", "size", "root", "fp"))
+    sketches = rows["sketch"].to_pylist()
+    words = np.frombuffer(b"".join(sketches), "<u8")
+    n_words = np.array([len(s) // 8 for s in sketches], np.int64)
+    at = np.cumsum(n_words) - n_words
+    group = np.concatenate([[True], (key[1:] != key[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])])
+    part = np.cumsum(group | np.concatenate([[True], own[1:] != own[:-1]])) - 1  # the rows of a group that are of one block
+    group = np.cumsum(group)[np.searchsorted(part, np.arange(part[-1] + 1))]
+    # a row meets the later ones of its own block, or those of the other block, where the sizes allow it
+    cross = x != y
+    to = np.minimum(part + cross, part[-1])
+    meets = ~cross | ((own == x) & (to > part) & (group[to] == group[part]))
+    place = (part << 32) + size
+    low = np.where(cross, np.searchsorted(place, (to << 32) + (4 * size + 4) // 5), np.arange(len(fp)) + 1)
+    n = np.where(meets, np.maximum(np.searchsorted(place, (to << 32) + 5 * size // 4, "right") - low, 0), 0)
+    ends = np.cumsum(n)
+    for begin in range(0, int(ends[-1]), PAIRS):
+        pair = np.arange(begin, min(begin + PAIRS, int(ends[-1])))
+        i = np.searchsorted(ends, pair, "right")
+        j = low[i] + pair - (ends[i] - n[i])
+        i, j = i[some := root[i] != root[j]], j[some]
+        bits, both = bits_apart(i, j, words, at, n_words), size[i] + size[j]
+        near = 9 * bits <= both
+        i, j, far = i[near], j[near], bits[near] / both[near]
+        found = pd.DataFrame({"a": np.minimum(fp[i], fp[j]), "b": np.maximum(fp[i], fp[j]), "far": far}).drop_duplicates()
+        if len(found):
+            yield pa.RecordBatch.from_pandas(found, preserve_index=False)
+
+
+def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """may_be_similar() for the rows of a task; a group is whole before it is compared."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        held.append(b)
+        if sum(x.num_rows for x in held) < ROWS:
+            continue
+        rows = pa.Table.from_batches(held)
+        key, x, y = (rows[c].to_numpy() for c in ("key", "x", "y"))
+        last = int(np.flatnonzero((key != key[-1]) | (x != x[-1]) | (y != y[-1]))[-1:].sum() + 1) if (key[0], x[0], y[0]) != (key[-1], x[-1], y[-1]) else 0
+        if last:
+            yield from may_be_similar(rows.slice(0, last))
+        held = rows.slice(last).combine_chunks().to_batches()
+    if held:
+        yield from may_be_similar(pa.Table.from_batches(held))
+
+
+def nearest_first(pairs: DataFrame, sets: DataFrame, found: DataFrame, done: DataFrame, most: int) -> DataFrame:
+    """Similar pairs that join with done, of components found, what all similar ones of pairs (a, b, far) would."""
+    for _ in range(ROUNDS):
+        if pairs.count() <= most:
+            break
+        ends = pairs.select(F.col("a").alias("of"), "a", "b", "far").union(pairs.select("b", "a", "b", "far"))
+        near = cut(ends.groupBy("of").agg(F.min(F.struct("far", "a", "b")).alias("x")).select("x.a", "x.b").distinct(), "copies-nearest")
+        done = done.union(verified(near, sets))
+        found = cut(components(done).withColumnRenamed("node", "fp"), "copies-again")
+        side = lambda c: few(found.select(F.col("fp").alias(c), F.col("root").alias(f"{c}_root")))  # noqa: E731, B023
+        joined = pairs.join(near, ["a", "b"], "left_anti").join(side("a"), "a", "left").join(side("b"), "b", "left")
+        pairs = cut(joined.where(F.coalesce("a_root", "a") != F.coalesce("b_root", "b")).select("a", "b", "far"), "copies-pairs")
+    return done.union(verified(pairs.select("a", "b"), sets))
+
+
 def fingerprint_pairs(sets: DataFrame) -> DataFrame:
     """(a, b) of fp: sets whose SimHash fingerprints are linked, by one set of each fingerprint. sets: as of prefixes(), written."""
     heads = cut(sets.groupBy("sim").agg(F.min("fp").alias("head"), F.count("*").alias("n")), "copies-fingerprints")
@@ -201,30 +306,14 @@ def links(sets: DataFrame, block: int = BLOCK) -> DataFrame:
     proposed = fingerprint_pairs(sets).union(star.select(F.col("head.fp").alias("a"), F.col("fp").alias("b")))
     first = verified(proposed.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), sets)
     found = cut(components(first).withColumnRenamed("node", "fp"), "copies-first")
-    rest = sized.select("key", "fp", "size", "parity", F.col("rows").alias("n")).join(found, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    rest = sized.select("key", "fp", "size", F.col("rows").alias("n")).join(found, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     rest = cut(rest, "copies-rest")
     apart = rest.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("key", "n")
     rest = join_counted(rest.drop("n"), cut(apart.withColumn("rows", F.col("n")), "copies-apart"), "key", rest.count(), "inner").withColumnRenamed("rows", "rows_of")
-
-    def compare(group: pd.DataFrame) -> pd.DataFrame:
-        fp, size, root = (group[c].to_numpy().astype(np.int64) for c in ("fp", "size", "root"))
-        parity = group["parity"].to_numpy().astype(np.int64).view(np.uint64)
-        same = group["x"].iat[0] == group["y"].iat[0]
-        own = (group["own"] == group["x"]).to_numpy()
-        at, to = (np.arange(len(fp)),) * 2 if same else (np.flatnonzero(own), np.flatnonzero(~own))
-        a, b = [], []
-        for k in range(0, len(at), 256):
-            i = at[k : k + 256, None]
-            near = 9 * np.bitwise_count(parity[i] ^ parity[to]).astype(np.int64) <= size[i] + size[to]
-            near &= (5 * np.minimum(size[i], size[to]) >= 4 * np.maximum(size[i], size[to])) & (root[i] != root[to])
-            p, q = np.nonzero(near)
-            p, q = fp[at[k + p]], fp[to[q]]
-            a.append(np.minimum(p, q)), b.append(np.maximum(p, q))
-        return pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b)}).drop_duplicates()
-
-    placed = in_blocks(rest, "rows_of", block, ["size", "parity", "root"])
-    pairs = cut(placed.groupBy("key", "x", "y").applyInPandas(compare, "a long, b long").distinct(), "copies-pairs")
-    return first.union(verified(pairs, sets))
+    rest = rest.join(sets.select("fp", "sketch"), "fp")
+    placed = in_blocks(rest, "rows_of", block, ["size", "root", "sketch"]).sortWithinPartitions("key", "x", "y", "own", "size")
+    pairs = cut(map_rows(placed, compare, "a long, b long, far double").distinct(), "copies-pairs")
+    return nearest_first(pairs, sets, found, first, sets.count())
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
