@@ -56,3 +56,8 @@ def test_ids_that_repeat_equal_sql(spark, tmp_path, name):
     got = queries.QUERIES[name](spark, str(tmp_path))
     want = base.execute(f"SELECT {', '.join(got.columns)} FROM ({oracles.ORACLE_SQL[name]})").fetchall()
     assert want and sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, want))
+
+
+def test_questions_hits_go_to_the_documents(spark):
+    plan = queries.citations(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "broadcast" in plan.split("Aggregate")[0]

@@ -13,6 +13,8 @@ from ..sources.tables import table
 
 #: Hits that each arm recalls for fusion; titles that the lines of a document go through, three lines each.
 DEPTH, NOW_S = 54, 1_700_000_000
+#: Questions up to which their hits go to every task, so that the documents they are joined with stay where they are.
+MOST_QUESTIONS = 10_000
 TITLES = ["Introduction", "Methods", "Results > Preference Study", "References", "Discussion"]
 
 
@@ -78,16 +80,20 @@ def rrf_hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.rrf({"dense": (_dense(spark, sf_dir), dense), "sparse": (bm25_topk(spark, sf_dir), sparse)})
 
 
+def _sent(hits: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
+    return F.broadcast(hits) if _questions(spark, sf_dir).count() <= MOST_QUESTIONS else hits
+
+
 def _parents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("parent_id"))
 
 
 def parent_promote(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return retrieval.promote(rrf_hybrid(spark, sf_dir), _parents(spark, sf_dir))
+    return retrieval.promote(_sent(rrf_hybrid(spark, sf_dir), spark, sf_dir), _parents(spark, sf_dir))
 
 
 def parent_prescreen(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = retrieval.promote(rrf_hybrid(spark, sf_dir), _parents(spark, sf_dir), "general_overview")
+    found = retrieval.promote(_sent(rrf_hybrid(spark, sf_dir), spark, sf_dir), _parents(spark, sf_dir), "general_overview")
     return retrieval.chosen_parents(found, None, "general_overview")
 
 
@@ -113,7 +119,7 @@ def rank_percent(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rank_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    both = bm25_topk(spark, sf_dir).select("qid", "id", "score").join(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "n_chars"), "id")
+    both = _sent(bm25_topk(spark, sf_dir).select("qid", "id", "score"), spark, sf_dir).join(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "n_chars"), "id")
     return retrieval.rank_fusion(both, "score", "n_chars")
 
 
@@ -179,13 +185,13 @@ def level_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def structured_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = rrf_hybrid(spark, sf_dir).join(_parents(spark, sf_dir), "id").select("qid", "rank", F.lit("element").alias("level"), "id", F.col("parent_id").alias("paper_id"), _titles(F.col("id")).alias("title"), F.lit("text").alias("name"), "score")
+    hits = _sent(rrf_hybrid(spark, sf_dir), spark, sf_dir).join(_parents(spark, sf_dir), "id").select("qid", "rank", F.lit("element").alias("level"), "id", F.col("parent_id").alias("paper_id"), _titles(F.col("id")).alias("title"), F.lit("text").alias("name"), "score")
     rolled = hierarchy.structured(hits)
     return rolled.select("qid", "paper_id", "score", "title", F.array_join(F.transform("elements", lambda x: x["id"].cast("string")), ",").alias("elements"), "rank")
 
 
 def citations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = rrf_hybrid(spark, sf_dir).where("rank <= 6").join(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "source", "text"), "id")
+    hits = _sent(rrf_hybrid(spark, sf_dir).where("rank <= 6"), spark, sf_dir).join(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "source", "text"), "id")
     reference = prompts.numbered_source(F.col("rank"), F.col("source"), _titles(F.col("id")), F.pmod(F.col("id"), F.lit(4)), F.col("text"))
     return hits.select("qid", "id", reference.alias("reference"), prompts.source_of(reference).alias("source"))
 
